@@ -1,44 +1,42 @@
-"""Robust statistics as column expressions."""
+"""Robust statistics as SQL expressions over column names."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Fixed values of the method.
 NORMAL_QUARTILE = 0.6744897501960817  # divides a raw MAD to the normal scale
 Z_FACTOR = 0.6745
+NO_SCALE_SCORE = 10.0  # population mode: above the median of a column without spread
 
 
-def sorted_quantile(values: Column, p: float) -> Column:
+def sorted_quantile(values: str, p: float) -> str:
     """Linear-interpolation quantile of an ascending array; null when it is empty."""
-    pos = (F.size(values) - 1) * F.lit(float(p))
-    low = F.floor(pos).cast("int")
-    high = F.ceil(pos).cast("int")
-    at = lambda i: F.get(values, i)
-    return at(low) + (at(high) - at(low)) * (pos - F.floor(pos))
+    pos = f"((size({values}) - 1) * {p!r}D)"
+    low = f"get({values}, int(floor({pos})))"
+    high = f"get({values}, int(ceil({pos})))"
+    return f"({low} + ({high} - {low}) * ({pos} - floor({pos})))"
 
 
-def absolute_deviations(values: Column, center: Column) -> Column:
-    return F.array_sort(F.transform(values, lambda v: F.abs(v - center)))
+def absolute_deviations(values: str, center: str) -> str:
+    return f"array_sort(transform({values}, v -> abs(v - {center})))"
 
 
-def self_score(x: Column, median: Column, mad: Column, p95: Column, threshold: float) -> Column:
-    """Robust z of `x` against a baseline; null stays null.
+def self_score(x: str, stats: str, threshold: float) -> str:
+    """Robust z of `x` against struct `stats` (median, mad, p95); null stays null.
 
     A zero MAD has no scale: if p95 equals the median every other value is an
     outlier, else only values above p95 are.
     """
-    outlier = F.lit(float(threshold) + 1.0)
-    no_scale = F.when(
-        p95 == median, F.when(x != median, outlier).otherwise(0.0)
-    ).otherwise(F.when(x > p95, outlier).otherwise(0.0))
-    return F.when(x.isNull(), None).when(mad != 0, F.abs(Z_FACTOR * (x - median) / mad)).otherwise(no_scale)
-
-
-def population_score(x: Column, median: Column, mad: Column) -> Column:
-    """Robust z of the population mode: a zero MAD gives 10 above the median, else 0."""
-    x = F.coalesce(x, F.lit(0.0))
-    return F.when(mad != 0, F.abs(Z_FACTOR * (x - median) / mad)).otherwise(
-        F.when(x > median, 10.0).otherwise(0.0)
-    )
+    outlier = f"{float(threshold) + 1.0!r}D"
+    return f"""CASE
+        WHEN {x} IS NULL THEN NULL
+        WHEN {stats}.mad <> 0 THEN abs({Z_FACTOR}D * ({x} - {stats}.median) / {stats}.mad)
+        WHEN {stats}.p95 = {stats}.median THEN IF({x} <> {stats}.median, {outlier}, 0D)
+        ELSE IF({x} > {stats}.p95, {outlier}, 0D) END"""
+
+
+def population_score(x: str, median: float, mad: float) -> str:
+    """Robust z of the population mode; unobserved counts as zero."""
+    value = f"coalesce({x}, 0D)"
+    if mad != 0:
+        return f"abs({Z_FACTOR}D * ({value} - {median!r}D) / {mad!r}D)"
+    return f"IF({value} > {median!r}D, {NO_SCALE_SCORE}D, 0D)"

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayglass.contract import FEATURES, KEY, Params
@@ -41,32 +40,20 @@ def user_baseline(history: DataFrame, params: Params = Params()) -> DataFrame:
         )
         .where(F.col("history_days") >= params.min_history_days)
     )
-    ordered = gathered.select(
-        "user", "history_days", *[F.array_sort(f).alias(f) for f in FEATURES]
-    )
-    centred = ordered.select(
-        "user",
-        "history_days",
-        *FEATURES,
-        *[F.coalesce(sorted_quantile(F.col(f), 0.5), F.lit(0.0)).alias(f"{f}_m") for f in FEATURES],
-    ).select(
-        "user",
-        "history_days",
-        *FEATURES,
-        *[f"{f}_m" for f in FEATURES],
-        *[absolute_deviations(F.col(f), F.col(f"{f}_m")).alias(f"{f}_d") for f in FEATURES],
+    sorted_values = gathered.selectExpr(
+        "user", "history_days", *[f"array_sort({f}) AS {f}" for f in FEATURES]
     )
+    centred = sorted_values.selectExpr(
+        "*", *[f"coalesce({sorted_quantile(f, 0.5)}, 0D) AS {f}_m" for f in FEATURES]
+    ).selectExpr("*", *[f"{absolute_deviations(f, f'{f}_m')} AS {f}_d" for f in FEATURES])
 
-    def stats(f: str) -> Column:
-        spread = sorted_quantile(F.col(f"{f}_d"), 0.5) / mad_divisor(params)
-        return F.struct(
-            F.col(f"{f}_m").alias("median"),
-            F.coalesce(spread, F.lit(0.0)).alias("mad"),
-            F.coalesce(sorted_quantile(F.col(f), 0.95), F.lit(0.0)).alias("p95"),
-        ).alias(f)
+    def stats(f: str) -> str:
+        spread = f"{sorted_quantile(f'{f}_d', 0.5)} / {mad_divisor(params)!r}D"
+        p95 = sorted_quantile(f, 0.95)
+        return f"struct({f}_m AS median, coalesce({spread}, 0D) AS mad, coalesce({p95}, 0D) AS p95) AS {f}"
 
-    return centred.select(
-        "user", "history_days", F.struct(*[stats(f) for f in FEATURES]).alias("stats")
+    return centred.selectExpr(
+        "user", "history_days", f"struct({', '.join(map(stats, FEATURES))}) AS stats"
     )
 
 
@@ -109,8 +96,14 @@ def fetch_global(table: DataFrame) -> dict[str, dict[str, float]]:
     }
 
 
-def _constant(stats: Mapping[str, float]) -> Column:
-    return F.struct(*[F.lit(float(stats[k])).alias(k) for k in ("median", "mad", "p95")])
+def constant_stats(population: GlobalStats) -> str:
+    """The population baseline as one SQL struct of constants."""
+
+    def one(f: str) -> str:
+        stats = population.get(f, NO_STATS)
+        return f"struct({', '.join(f'{float(stats[k])!r}D AS {k}' for k in NO_STATS)}) AS {f}"
+
+    return f"struct({', '.join(map(one, FEATURES))})"
 
 
 def routed(
@@ -121,32 +114,28 @@ def routed(
     Users without a personal baseline get the population's. route_on "live" also sends
     users there who have fewer than `min_history_days` rows in the batch itself.
     """
-    if params.route_on == "live":
-        batch = F.count("*").over(W.partitionBy("user"))
-        live = live.withColumn("_batch_days", batch)
+    known = "stats IS NOT NULL"
+    if "baseline_source" in live.columns:  # already routed: keep that choice
+        known = f"{known} AND routed_before = '{PERSONAL}'"
+        live = live.withColumnRenamed("baseline_source", "routed_before")
+    elif params.route_on == "live":
+        live = live.selectExpr("*", "count(*) OVER (PARTITION BY user) AS batch_days")
+        known = f"{known} AND batch_days >= {params.min_history_days}"
     joined = live.join(baseline.select("user", "history_days", "stats"), "user", "left")
-    personal = F.col("stats").isNotNull()
-    if params.route_on == "live":
-        personal = personal & (F.col("_batch_days") >= params.min_history_days)
-    fallback = F.struct(*[_constant(population.get(f, NO_STATS)).alias(f) for f in FEATURES])
-    return joined.select(
-        *live.columns,
-        F.coalesce("history_days", F.lit(0)).cast("long").alias("history_days"),
-        F.when(personal, PERSONAL).otherwise(GLOBAL).alias("baseline_source"),
-        F.when(personal, F.col("stats")).otherwise(fallback).alias("stats"),
-    ).drop("_batch_days")
+    return joined.selectExpr(
+        *[c for c in live.columns if c not in ("batch_days", "routed_before")],
+        "coalesce(history_days, 0L) AS history_days",
+        f"IF({known}, '{PERSONAL}', '{GLOBAL}') AS baseline_source",
+        f"IF({known}, stats, {constant_stats(population)}) AS stats",
+    )
 
 
 def with_self_scores(df: DataFrame, params: Params = Params()) -> DataFrame:
     """Add z_<feature> for every feature of a routed table."""
-
-    def z(f: str) -> Column:
-        s = F.col("stats").getField(f)
-        return self_score(
-            F.col(f), s.getField("median"), s.getField("mad"), s.getField("p95"), params.mad_threshold
-        )
-
-    return df.select("*", *[z(f).alias(f"z_{f}") for f in FEATURES])
+    return df.selectExpr(
+        "*",
+        *[f"{self_score(f, f'stats.{f}', params.mad_threshold)} AS z_{f}" for f in FEATURES],
+    )
 
 
 def self_scores(

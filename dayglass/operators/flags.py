@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,38 +11,31 @@ from dayglass.contract import FEATURES, Params
 from dayglass.operators.quantiles import quantiles
 
 
-def _total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def _total(terms: Iterable[str]) -> str:
+    return f"({' + '.join(terms)})"
 
 
-def missing_share() -> Column:
-    nulls = _total([F.isnull(f).cast("int") for f in FEATURES])
-    return nulls / F.lit(float(len(FEATURES)))
-
-
-def data_quality_risk(tolerance: float) -> Column:
-    return (missing_share() > tolerance).cast("int")
+MISSING_SHARE = f"{_total(f'int(isnull({f}))' for f in FEATURES)} / {len(FEATURES)}D"
 
 
 def with_flags(df: DataFrame, params: Params = Params()) -> DataFrame:
     """From z_<feature> columns: flags, counts, ratio and the data-quality gate."""
-    flagged = df.select(
-        "*",
-        *[
-            F.coalesce((F.col(f"z_{f}") > params.mad_threshold).cast("int"), F.lit(0)).alias(f"{f}_flag")
-            for f in FEATURES
-        ],
-        data_quality_risk(params.missing_data_tolerance).alias("data_quality_risk"),
-    )
-    counted = flagged.select(
-        "*",
-        _total([F.col(f"{f}_flag") for f in FEATURES]).alias("mad_score_count"),
-        _total([F.isnotnull(f).cast("int") for f in FEATURES]).alias("observed_feature_count"),
-    )
-    observed = F.col("observed_feature_count")
-    return counted.withColumn(
-        "mad_flag_ratio",
-        F.when(observed > 0, F.col("mad_score_count") / observed).otherwise(0.0),
+    threshold = f"{float(params.mad_threshold)!r}D"
+    return (
+        df.selectExpr(
+            "*",
+            *[f"coalesce(int(z_{f} > {threshold}), 0) AS {f}_flag" for f in FEATURES],
+            f"int({MISSING_SHARE} > {float(params.missing_data_tolerance)!r}D) AS data_quality_risk",
+        )
+        .selectExpr(
+            "*",
+            f"{_total(f'{f}_flag' for f in FEATURES)} AS mad_score_count",
+            f"{_total(f'int(isnotnull({f}))' for f in FEATURES)} AS observed_feature_count",
+        )
+        .selectExpr(
+            "*",
+            "IF(observed_feature_count > 0, mad_score_count / observed_feature_count, 0D) AS mad_flag_ratio",
+        )
     )
 
 

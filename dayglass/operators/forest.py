@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -29,12 +30,12 @@ Scaling = Mapping[str, tuple[float, float]]
 def model_input(df: DataFrame, fill: float, scaling: Scaling | None, prefix: str = "z_") -> DataFrame:
     """Replace the z columns by filled and robustly scaled x_<feature> columns."""
 
-    def scaled(f: str) -> Column:
-        z = F.coalesce(F.col(f"{prefix}{f}"), F.lit(float(fill)))
+    def scaled(f: str) -> str:
+        z = f"coalesce({prefix}{f}, {float(fill)!r}D)"
         center, scale = scaling[f] if scaling else (0.0, 1.0)
-        return ((z - F.lit(float(center))) / F.lit(float(scale))).alias(f"x_{f}")
+        return f"({z} - {float(center)!r}D) / {float(scale)!r}D AS x_{f}"
 
-    return df.select("*", *[scaled(f) for f in FEATURES])
+    return df.selectExpr("*", *map(scaled, FEATURES))
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, total: int, order: tuple[str, ...] = KEY) -> DataFrame:
@@ -110,13 +111,20 @@ def load_forest(table: DataFrame, subsample: int) -> Forest:
     return Forest(nodes, len(FEATURES), subsample)
 
 
+def _ship(df: DataFrame, forest: Forest):
+    """Broadcast the forest, its code included: workers need no installed package."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(forest))
+
+
 def raw_score(df: DataFrame, forest: Forest, prefix: str = "x_") -> Column:
     """Forest score of x_<feature> columns; vectorised per Arrow batch."""
-    shipped = df.sparkSession.sparkContext.broadcast(forest)
+    shipped = _ship(df, forest)
 
     @F.pandas_udf("double")
-    def score(*columns: pd.Series) -> pd.Series:
-        return pd.Series(shipped.value.raw_score(np.column_stack(columns)))
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        local = pickle.loads(shipped.value)
+        for columns in batches:
+            yield pd.Series(local.raw_score(np.column_stack(columns)))
 
     return score(*[F.col(f"{prefix}{f}") for f in FEATURES])
 
@@ -160,14 +168,16 @@ def contributions(df: DataFrame, forest: Forest, prefix: str = "x_") -> Column:
 
     Use it on filtered rows: no filter is pushed through it.
     """
-    shipped = df.sparkSession.sparkContext.broadcast(forest)
+    shipped = _ship(df, forest)
 
     @F.pandas_udf("array<double>")
-    def explain(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-        usable = np.isfinite(x).all(axis=1)
-        phi = np.zeros(x.shape)
-        phi[usable] = shipped.value.contributions(x[usable])
-        return pd.Series([list(p) if ok else None for p, ok in zip(phi, usable)])
+    def explain(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        local = pickle.loads(shipped.value)
+        for columns in batches:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+            usable = np.isfinite(x).all(axis=1)
+            phi = np.zeros(x.shape)
+            phi[usable] = local.contributions(x[usable])
+            yield pd.Series([list(p) if ok else None for p, ok in zip(phi, usable)])
 
     return explain(*[F.col(f"{prefix}{f}") for f in FEATURES])

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BINS_PER_E = 10_000
 _ZERO = 7_500_000  # above |ln| of the smallest double times BINS_PER_E
+_SIZE = f"int(floor(ln(abs(v)) * {BINS_PER_E})) + {_ZERO}"
+_BIN = f"CASE WHEN v > 0 THEN {_SIZE} WHEN v < 0 THEN -({_SIZE}) ELSE 0 END"
 FEW_ROWS = 1_000_000  # up to here one task may hold every value
 
 
@@ -24,39 +25,27 @@ def even_grid(points: int) -> list[float]:
     return [i / (points - 1) for i in range(points)]
 
 
-def _bin(v: Column) -> Column:
-    size = F.floor(F.ln(F.abs(v)) * BINS_PER_E).cast("int") + _ZERO
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(0)
-
-
-def _hits(before: Column, n: Column, total: Column, probs: Sequence[float]) -> Column:
-    """Wanted ranks inside [before, before + n): array of (i, upper) pairs."""
-    after = before + n
-
-    def inside(rank: Column) -> Column:
-        return (rank >= before) & (rank < after)
-
-    def entry(i: Column, upper: int) -> Column:
-        return F.struct(i.cast("int").alias("i"), F.lit(upper).alias("upper"))
+def _hits(probs: Sequence[float]) -> str:
+    """SQL array of (i, upper): the wanted ranks inside [before, before + n).
 
+    Every probability has two ranks, the floor and the ceiling of its position.
+    """
     last = len(probs) - 1
     if len(probs) > 16 and list(probs) == even_grid(len(probs)):
-        scale = F.lit(float(last)) / F.greatest(total - 1, F.lit(1))
-        first = F.greatest(F.floor((before - 1) * scale), F.lit(0))
-        final = F.least(F.ceil(after * scale), F.lit(last))
-        rank = lambda i: (i / float(last)) * (total - 1)
-        near = F.sequence(first, final)
-        both = [
-            F.transform(F.filter(near, lambda i: inside(F.floor(rank(i)))), lambda i: entry(i, 0)),
-            F.transform(F.filter(near, lambda i: inside(F.ceil(rank(i)))), lambda i: entry(i, 1)),
+        # evenly spaced: the indices that can fall here follow from the range
+        scale = f"({last}D / greatest(total - 1, 1))"
+        near = f"sequence(greatest(int(floor((before - 1) * {scale})), 0), least(int(ceil((before + n) * {scale})), {last}))"
+        sides = [
+            f"transform(filter({near}, i -> {side}(i / {last}D * (total - 1)) BETWEEN before AND before + n - 1), i -> struct(i AS i, {upper} AS upper))"
+            for upper, side in enumerate(("floor", "ceil"))
         ]
-        return F.concat(*both)
-    wanted = []
-    for i, p in enumerate(probs):
-        rank = F.lit(float(p)) * (total - 1)
-        wanted.append(F.when(inside(F.floor(rank)), entry(F.lit(i), 0)))
-        wanted.append(F.when(inside(F.ceil(rank)), entry(F.lit(i), 1)))
-    return F.array_compact(F.array(*wanted))
+        return f"concat({sides[0]}, {sides[1]})"
+    wanted = [
+        f"IF({side}({p!r}D * (total - 1)) BETWEEN before AND before + n - 1, struct({i} AS i, {upper} AS upper), NULL)"
+        for i, p in enumerate(probs)
+        for upper, side in enumerate(("floor", "ceil"))
+    ]
+    return f"array_compact(array({', '.join(wanted)}))"
 
 
 def quantiles(
@@ -85,48 +74,44 @@ def quantiles(
             .where("n > 0")
         )
     keys = list(by) or ["_all"]
+    key_sql = ", ".join(keys)
     if not by:
         df = df.withColumn("_all", F.lit(0))
+    hits = _hits(probs)
     counted = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, (F.col(value).cast("double") + 0.0).alias("v"))
+        .groupBy(*keys, F.expr(f"double({value}) + 0D").alias("v"))
         .agg(F.count("*").alias("n"))
-        .withColumn("bin", _bin(F.col("v")))
+        .withColumn("bin", F.expr(_BIN))
         # stated here so that both uses below keep one plan and share its shuffle
-        .where(F.col("bin").isNotNull())
+        .where("bin IS NOT NULL")
     )
-    in_order = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    in_order = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     bins = (
         counted.groupBy(*keys, "bin")
-        .agg(F.sum("n").alias("bin_n"))
-        .withColumn("bin_before", F.coalesce(F.sum("bin_n").over(in_order), F.lit(0)))
-        .withColumn("total", F.sum("bin_n").over(W.partitionBy(*keys)))
-        .where(F.size(_hits(F.col("bin_before"), F.col("bin_n"), F.col("total"), probs)) > 0)
-        .drop("bin_n")
+        .agg(F.sum("n").alias("n"))
+        .selectExpr(
+            "*",
+            f"coalesce(sum(n) OVER (PARTITION BY {key_sql} ORDER BY bin {in_order}), 0) AS before",
+            f"sum(n) OVER (PARTITION BY {key_sql}) AS total",
+        )
+        .where(f"size({hits}) > 0")
+        .select(*keys, "bin", F.col("before").alias("bin_before"), "total")
     )
-    in_bin = W.partitionBy(*keys, "bin").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
     picked = (
         # at most two bins per group and probability
         counted.join(F.broadcast(bins), [*keys, "bin"])
-        .withColumn("before", F.col("bin_before") + F.coalesce(F.sum("n").over(in_bin), F.lit(0)))
-        .select(
-            *keys,
-            "total",
-            "v",
-            F.explode(_hits(F.col("before"), F.col("n"), F.col("total"), probs)).alias("hit"),
+        .selectExpr(
+            "*",
+            f"bin_before + coalesce(sum(n) OVER (PARTITION BY {key_sql}, bin ORDER BY v {in_order}), 0) AS before",
         )
+        .selectExpr(*keys, "total", "v", f"explode({hits}) AS hit")
         .groupBy(*keys, "total")
         # two entries per probability
-        .agg(F.array_sort(F.collect_list(F.struct("hit.i", "hit.upper", "v"))).alias("e"))
+        .agg(F.expr("array_sort(collect_list(struct(hit.i, hit.upper, v))).v").alias("e"))
     )
-    p_array = F.array(*[F.lit(p) for p in probs])
-
-    def at(p: Column, i: Column) -> Column:
-        low = F.get(F.col("e"), 2 * i).getField("v")
-        high = F.get(F.col("e"), 2 * i + 1).getField("v")
-        pos = p * (F.col("total") - 1)
-        return low + (high - low) * (pos - F.floor(pos))
-
-    return picked.select(
-        *by, F.col("total").alias("n"), F.transform(p_array, at).alias("quantiles")
+    p_sql = ", ".join(f"{p!r}D" for p in probs)
+    value_at = "get(e, 2 * i) + (get(e, 2 * i + 1) - get(e, 2 * i)) * (p * (total - 1) - floor(p * (total - 1)))"
+    return picked.selectExpr(
+        *by, "total AS n", f"transform(array({p_sql}), (p, i) -> {value_at}) AS quantiles"
     )
