@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +44,17 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType) for f in schema])
 
 
-def write_by_day(df: DataFrame, path: str) -> None:
+def write_by_day(df: DataFrame, path: str, files_per_day: int = 8) -> None:
     """Keyed table partitioned by day; rewriting a day leaves the others alone.
 
-    Rows are spread by day and user hash, so a day is written by several tasks.
+    Users are hashed into `files_per_day` groups: a busy day is written by that many
+    tasks, and a day never splits into one file per task.
     """
-    require_key(df, "table")
+    group = F.pmod(F.xxhash64("user"), F.lit(files_per_day))
     (
-        df.write.mode("overwrite")
+        require_key(df, "table")
+        .repartition("activity_date", group)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("activity_date")
         .parquet(path)
@@ -90,6 +94,15 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return runs.join(newest, ["window_name", "run_id"], "left_semi")
 
 
+def read_or_make(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at `path`; it is made and written first where none exists."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").parquet(path)
 
