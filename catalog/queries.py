@@ -473,7 +473,7 @@ def _(w):
         "user",
         F.when(F.col("confirmed_threat") == 1, "not a date").otherwise(F.col("activity_date").cast("string")).alias("activity_date"),
         F.when(F.col("telemetry_gap_flag") == 0, F.col("iso_forest_raw_score")).alias("iso_raw_score"),
-        attribution.alert_category().alias("threat_category"),
+        F.expr(attribution.ALERT_CATEGORY).alias("threat_category"),
     )
     return rounded(report.typed_report(broken, AS_OF).select(*KEY, "iso_raw_score"))
 
@@ -519,7 +519,7 @@ _med = cols(f"round(m_{f}, 6) as {f}" for f in FEATURES)
 def _(w):
     routed = baseline.routed(w.live, w.baseline, w.population, w.params)
     return rounded(
-        routed.select(*KEY, "baseline_source", *[F.col(f"stats.{f}.median").alias(f) for f in FEATURES])
+        routed.select(*KEY, "baseline_source", *[F.col(f"{f}_median").alias(f) for f in FEATURES])
     )
 
 
@@ -1002,7 +1002,7 @@ def _(w):
     "from z_l where usr in (select usr from ubase where keyword_match_indicator_mad = 0 or large_attachment_count_mad = 0)",
 )
 def _(w):
-    flat = "stats.keyword_match_indicator.mad = 0 OR stats.large_attachment_count.mad = 0"
+    flat = "keyword_match_indicator_mad = 0 OR large_attachment_count_mad = 0"
     z = w.z(w.live).where("baseline_source = 'personal'").where(flat)
     return rounded(
         z.select(

@@ -103,7 +103,8 @@ class World:
 
     def alerts(self, top_n: int = 5, direction: str = "signed") -> DataFrame:
         live = materialize(self.live, "live")  # scored and read again for the raw values
-        return detect.explain(score(live, self.model), live, self.model, top_n=top_n, direction=direction)
+        scores = score(live, self.model)
+        return detect.explain(scores, live, self.model, top_n=top_n, direction=direction)
 
     @property
     def labels(self) -> DataFrame:

@@ -20,8 +20,8 @@ def absolute_deviations(values: str, center: str) -> str:
     return f"array_sort(transform({values}, v -> abs(v - {center})))"
 
 
-def self_score(x: str, stats: str, threshold: float) -> str:
-    """Robust z of `x` against struct `stats` (median, mad, p95); null stays null.
+def self_score(x: str, threshold: float) -> str:
+    """Robust z of column `x` against its <x>_median, _mad and _p95; null stays null.
 
     A zero MAD has no scale: if p95 equals the median every other value is an
     outlier, else only values above p95 are.
@@ -29,9 +29,9 @@ def self_score(x: str, stats: str, threshold: float) -> str:
     outlier = f"{float(threshold) + 1.0!r}D"
     return f"""CASE
         WHEN {x} IS NULL THEN NULL
-        WHEN {stats}.mad <> 0 THEN abs({Z_FACTOR}D * ({x} - {stats}.median) / {stats}.mad)
-        WHEN {stats}.p95 = {stats}.median THEN IF({x} <> {stats}.median, {outlier}, 0D)
-        ELSE IF({x} > {stats}.p95, {outlier}, 0D) END"""
+        WHEN {x}_mad <> 0 THEN abs({Z_FACTOR}D * ({x} - {x}_median) / {x}_mad)
+        WHEN {x}_p95 = {x}_median THEN IF({x} <> {x}_median, {outlier}, 0D)
+        ELSE IF({x} > {x}_p95, {outlier}, 0D) END"""
 
 
 def population_score(x: str, median: float, mad: float) -> str:

@@ -22,6 +22,17 @@ def list_size(col: Column, mode: str = "list") -> Column:
     return F.when(col.isNotNull() & (col != ""), commas + 1).otherwise(0)
 
 
-def fixed(col: Column, digits: int) -> Column:
-    """Fixed-point text, ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(col, digits))
+def quoted(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def fixed(value: str, digits: int, missing: str = "nan") -> str:
+    """SQL for fixed-point text, ties to even."""
+    shown = f"format_string('%.{digits}f', bround({value}, {digits}))"
+    return f"IF({value} IS NULL, {quoted(missing)}, {shown})"
+
+
+def sentence(pattern: str, *values: str) -> str:
+    """SQL that fills the %s places of `pattern` with SQL values."""
+    return f"format_string({', '.join([quoted(pattern), *values])})"

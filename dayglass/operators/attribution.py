@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayglass.contract import ALERT_COLUMNS, FEATURES, KEY, Params
-from dayglass.functions.text import fixed
+from dayglass.functions.text import fixed, quoted, sentence
 from dayglass.operators.baseline import GLOBAL
 
 DIRECTIONS = ("signed", "absolute")
@@ -65,114 +65,106 @@ def with_raw_features(
     return flagged_rows(scores, flags).join(features.select(*KEY, *FEATURES), list(KEY))
 
 
-def direction(z: Column, x: Column, median: Column, threshold: float, mode: str = "signed") -> Column:
-    """elevated / suppressed / normal.
+def direction(threshold: float, mode: str = "signed") -> str:
+    """SQL for elevated / suppressed / normal of an entry c (z, x, median).
 
     "signed" calls an outlier below its median suppressed. "absolute" looks at the
     (never negative) score alone, so a drop reads elevated too.
     """
     if mode not in DIRECTIONS:
         raise ValueError(f"direction mode must be one of {DIRECTIONS}, not {mode!r}")
-    outlier = z > threshold
-    if mode == "signed":
-        return (
-            F.when(outlier & (x < median), "suppressed").when(outlier, "elevated").otherwise("normal")
-        )
-    return F.when(outlier, "elevated").when(z < 0, "suppressed").otherwise("normal")
+    outlier = f"c.z > {float(threshold)!r}D"
+    drop = f"{outlier} AND c.x < c.median" if mode == "signed" else "c.z < 0"
+    return f"CASE WHEN {drop} THEN 'suppressed' WHEN {outlier} THEN 'elevated' ELSE 'normal' END"
 
 
-def reason(name: str, x: Column, z: Column, median: Column, way: Column, mad_flagged: Column) -> Column:
-    raw = F.coalesce(fixed(x, 2), F.lit("nan"))
-    base = fixed(median, 2)
-    sentence = (
-        F.when(way == "elevated", F.format_string(ELEVATED, F.lit(name), raw, fixed(z, 1), base))
-        .when(way == "suppressed", F.format_string(SUPPRESSED, F.lit(name), raw, base))
-        .otherwise(F.format_string(NORMAL, F.lit(name), raw, base))
-    )
-    return F.concat(sentence, F.when(mad_flagged, ALSO_FLAGGED).otherwise(""))
+def reason() -> str:
+    """SQL for the sentence of an entry c."""
+    raw, base, z = fixed("c.x", 2), fixed("c.median", 2), fixed("c.z", 1)
+    return f"""concat(
+        CASE c.direction
+          WHEN 'elevated' THEN {sentence(ELEVATED, "c.feature", raw, z, base)}
+          WHEN 'suppressed' THEN {sentence(SUPPRESSED, "c.feature", raw, base)}
+          ELSE {sentence(NORMAL, "c.feature", raw, base)} END,
+        IF(c.mad_flagged, {quoted(ALSO_FLAGGED)}, ''))"""
 
 
-def alert_category() -> Column:
-    return (
-        F.when(F.col("high_risk_review") == 1, "high_risk_review")
-        .when(F.col("confirmed_threat") == 1, "confirmed_threat")
-        .when(F.col("telemetry_gap_flag") == 1, "telemetry_gap_flag")
-        .otherwise("review")
-    )
+ALERT_CATEGORY = """CASE
+    WHEN high_risk_review = 1 THEN 'high_risk_review'
+    WHEN confirmed_threat = 1 THEN 'confirmed_threat'
+    WHEN telemetry_gap_flag = 1 THEN 'telemetry_gap_flag'
+    ELSE 'review' END"""
 
 
-def contribution_list(params: Params, fill: float, mode: str = "signed") -> Column:
-    """All contributions of a row, largest absolute attribution first.
+def with_contributions(df: DataFrame, params: Params, fill: float, mode: str = "signed") -> DataFrame:
+    """Add all_contributions, largest absolute attribution first; null without `phi`.
 
-    Needs the features, z_, _flag and stats columns and `phi` in feature order; ties
-    keep the alphabetical feature order.
+    Needs the features, their z_, _flag and _median columns, and `phi` in feature order.
+    Ties keep the alphabetical feature order.
     """
-    entries = []
-    for i, f in enumerate(FEATURES):
-        x, median = F.col(f), F.col("stats").getField(f).getField("median")
-        z = F.coalesce(F.col(f"z_{f}"), F.lit(float(fill)))
-        mad_flagged = F.col(f"{f}_flag") == 1
-        way = direction(z, x, median, params.mad_threshold, mode)
-        phi = F.bround(F.get("phi", F.lit(i)), 6)
-        entries.append(
-            F.struct(
-                (-F.abs(phi)).alias("order"),
-                F.lit(f).alias("feature_name"),
-                F.bround(x, 4).alias("raw_value"),
-                F.bround(median, 4).alias("user_baseline"),
-                F.bround(z, 4).alias("self_z_score"),
-                phi.alias("shap_value"),
-                mad_flagged.alias("mad_flagged"),
-                way.alias("direction"),
-                reason(f, x, z, median, way, mad_flagged).alias("plain_english"),
-            )
+    entries = ", ".join(
+        f"struct('{f}' AS feature, {f} AS x, coalesce(z_{f}, {float(fill)!r}D) AS z, "
+        f"{f}_median AS median, bround(phi[{i}], 6) AS phi, {f}_flag = 1 AS mad_flagged)"
+        for i, f in enumerate(FEATURES)
+    )
+    return (
+        df.selectExpr("*", f"IF(phi IS NULL, NULL, array({entries})) AS entries")
+        .withColumn(
+            "entries",
+            F.expr(
+                "array_sort(transform(entries, c -> struct(-abs(c.phi) AS place, c.feature AS feature, "
+                "c.x AS x, c.z AS z, c.median AS median, c.phi AS phi, c.mad_flagged AS mad_flagged, "
+                f"{direction(params.mad_threshold, mode)} AS direction)))"
+            ),
         )
-    ordered = F.array_sort(F.array(*entries))
-    return F.transform(ordered, lambda c: c.dropFields("order"))
-
-
-def narrative(top_n: int) -> Column:
-    """Summary sentence of an alert from its category, score and first contribution."""
-    note = F.when(F.col("baseline_source") == GLOBAL, COLD_START_NOTE).otherwise("")
-    first = F.get("top_contributors", F.lit(0))
-    day = F.col("activity_date").cast("string")
-    score = fixed(F.col("iso_raw_score"), 4)
-    full = F.format_string(
-        NARRATIVE,
-        "user",
-        day,
-        "threat_category",
-        score,
-        first.getField("feature_name"),
-        first.getField("plain_english"),
-        F.least(F.lit(top_n), F.size("top_contributors")).cast("string"),
-        note,
+        .withColumn(
+            "all_contributions",
+            F.expr(
+                "transform(entries, c -> struct(c.feature AS feature_name, bround(c.x, 4) AS raw_value, "
+                "bround(c.median, 4) AS user_baseline, bround(c.z, 4) AS self_z_score, "
+                "c.phi AS shap_value, c.mad_flagged AS mad_flagged, c.direction AS direction, "
+                f"{reason()} AS plain_english))"
+            ),
+        )
+        .drop("entries")
     )
-    bare = F.format_string(NARRATIVE_WITHOUT_DRIVER, "user", day, "threat_category", score, note)
-    return F.trim(F.when(F.size("top_contributors") > 0, full).otherwise(bare))
+
+
+def narrative(top_n: int) -> str:
+    """SQL for the summary of an alert from its category, score and first contribution."""
+    note = f"IF(baseline_source = '{GLOBAL}', {quoted(COLD_START_NOTE)}, '')"
+    who = ("user", "string(activity_date)", "threat_category", fixed("iso_raw_score", 4))
+    first = "get(top_contributors, 0)"
+    n = f"string(least({top_n}, size(top_contributors)))"
+    full = sentence(NARRATIVE, *who, f"{first}.feature_name", f"{first}.plain_english", n, note)
+    bare = sentence(NARRATIVE_WITHOUT_DRIVER, *who, note)
+    return f"trim(IF(size(top_contributors) > 0, {full}, {bare}))"
 
 
 def alerts(attributed: DataFrame, params: Params, fill: float, top_n: int = 5, mode: str = "signed") -> DataFrame:
     """Alert records from flagged rows with `phi`; a row without phi carries explain_error."""
-    listed = attributed.select(
-        *KEY,
-        alert_category().alias("threat_category"),
-        F.col("iso_forest_raw_score").alias("iso_raw_score"),
-        "mad_flag_ratio",
-        "baseline_source",
-        F.when(F.col("phi").isNotNull(), contribution_list(params, fill, mode)).alias("all_contributions"),
-    )
-    topped = listed.withColumn("top_contributors", F.slice("all_contributions", 1, top_n))
-    return topped.select(
-        *KEY,
-        "threat_category",
-        "iso_raw_score",
-        "mad_flag_ratio",
-        "top_contributors",
-        "all_contributions",
-        narrative(top_n).alias("narrative"),
-        "baseline_source",
-        F.when(F.col("all_contributions").isNull(), "attribution failed").alias("explain_error"),
+    return (
+        with_contributions(attributed, params, fill, mode)
+        .selectExpr(
+            *KEY,
+            f"{ALERT_CATEGORY} AS threat_category",
+            "iso_forest_raw_score AS iso_raw_score",
+            "mad_flag_ratio",
+            f"slice(all_contributions, 1, {int(top_n)}) AS top_contributors",
+            "all_contributions",
+            "baseline_source",
+        )
+        .selectExpr(
+            *KEY,
+            "threat_category",
+            "iso_raw_score",
+            "mad_flag_ratio",
+            "top_contributors",
+            "all_contributions",
+            f"{narrative(top_n)} AS narrative",
+            "baseline_source",
+            "IF(all_contributions IS NULL, 'attribution failed', NULL) AS explain_error",
+        )
     )
 
 
@@ -183,11 +175,11 @@ def failed_alerts(explained: DataFrame) -> DataFrame:
 def flat_report(explained: DataFrame, top_n: int = 5) -> DataFrame:
     """One wide row per explained alert, with top<k>_ columns."""
     top = [
-        F.get("top_contributors", F.lit(k - 1)).getField(name).alias(f"top{k}_{label}")
+        f"get(top_contributors, {k - 1}).{name} AS top{k}_{label}"
         for k in range(1, top_n + 1)
         for label, name in REPORT_FIELDS
     ]
-    return explained.where("explain_error IS NULL").select(
+    return explained.where("explain_error IS NULL").selectExpr(
         *KEY,
         "threat_category",
         "iso_raw_score",

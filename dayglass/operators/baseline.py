@@ -96,22 +96,12 @@ def fetch_global(table: DataFrame) -> dict[str, dict[str, float]]:
     }
 
 
-def constant_stats(population: GlobalStats) -> str:
-    """The population baseline as one SQL struct of constants."""
-
-    def one(f: str) -> str:
-        stats = population.get(f, NO_STATS)
-        return f"struct({', '.join(f'{float(stats[k])!r}D AS {k}' for k in NO_STATS)}) AS {f}"
-
-    return f"struct({', '.join(map(one, FEATURES))})"
-
-
 def routed(
     live: DataFrame, baseline: DataFrame, population: GlobalStats, params: Params = Params()
 ) -> DataFrame:
-    """`live` with the stats that apply to each row, history_days and baseline_source.
+    """`live` with history_days, baseline_source and the stats that apply to each row.
 
-    Users without a personal baseline get the population's. route_on "live" also sends
+    The stats are flat columns <feature>_median, _mad and _p95. Users without a personal baseline get the population's. route_on "live" also sends
     users there who have fewer than `min_history_days` rows in the batch itself.
     """
     known = "stats IS NOT NULL"
@@ -122,19 +112,23 @@ def routed(
         live = live.selectExpr("*", "count(*) OVER (PARTITION BY user) AS batch_days")
         known = f"{known} AND batch_days >= {params.min_history_days}"
     joined = live.join(baseline.select("user", "history_days", "stats"), "user", "left")
+
+    def stat(f: str, k: str) -> str:
+        constant = float(population.get(f, NO_STATS)[k])
+        return f"IF({known}, stats.{f}.{k}, {constant!r}D) AS {f}_{k}"
+
     return joined.selectExpr(
         *[c for c in live.columns if c not in ("batch_days", "routed_before")],
         "coalesce(history_days, 0L) AS history_days",
         f"IF({known}, '{PERSONAL}', '{GLOBAL}') AS baseline_source",
-        f"IF({known}, stats, {constant_stats(population)}) AS stats",
+        *[stat(f, k) for f in FEATURES for k in NO_STATS],
     )
 
 
 def with_self_scores(df: DataFrame, params: Params = Params()) -> DataFrame:
     """Add z_<feature> for every feature of a routed table."""
     return df.selectExpr(
-        "*",
-        *[f"{self_score(f, f'stats.{f}', params.mad_threshold)} AS z_{f}" for f in FEATURES],
+        "*", *[f"{self_score(f, params.mad_threshold)} AS z_{f}" for f in FEATURES]
     )
 
 

@@ -34,7 +34,7 @@ def with_flags(df: DataFrame, params: Params = Params()) -> DataFrame:
         )
         .selectExpr(
             "*",
-            "IF(observed_feature_count > 0, mad_score_count / observed_feature_count, 0D) AS mad_flag_ratio",
+            "coalesce(try_divide(mad_score_count, observed_feature_count), 0D) AS mad_flag_ratio",
         )
     )
 

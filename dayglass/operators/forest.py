@@ -117,7 +117,11 @@ def _ship(df: DataFrame, forest: Forest):
 
 
 def raw_score(df: DataFrame, forest: Forest, prefix: str = "x_") -> Column:
-    """Forest score of x_<feature> columns; vectorised per Arrow batch."""
+    """Forest score of x_<feature> columns; vectorised per Arrow batch.
+
+    Declared non-deterministic to keep it a boundary: filters on the verdict stay above
+    it instead of being rewritten in terms of the raw features. Filter keys before scoring.
+    """
     shipped = _ship(df, forest)
 
     @F.pandas_udf("double")
@@ -126,7 +130,7 @@ def raw_score(df: DataFrame, forest: Forest, prefix: str = "x_") -> Column:
         for columns in batches:
             yield pd.Series(local.raw_score(np.column_stack(columns)))
 
-    return score(*[F.col(f"{prefix}{f}") for f in FEATURES])
+    return score.asNondeterministic()(*[F.col(f"{prefix}{f}") for f in FEATURES])
 
 
 def score_table(scores: DataFrame, column: str = "raw", known_rows: int | None = None) -> DataFrame:
@@ -180,4 +184,4 @@ def contributions(df: DataFrame, forest: Forest, prefix: str = "x_") -> Column:
             phi[usable] = local.contributions(x[usable])
             yield pd.Series([list(p) if ok else None for p, ok in zip(phi, usable)])
 
-    return explain(*[F.col(f"{prefix}{f}") for f in FEATURES])
+    return explain.asNondeterministic()(*[F.col(f"{prefix}{f}") for f in FEATURES])
