@@ -48,6 +48,7 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[key] = round(time.perf_counter() - started, 3)
+        print(key, seconds[key], file=sys.stderr, flush=True)
     spark.stop()
     total = round(sum(seconds.values()), 3)
     print(

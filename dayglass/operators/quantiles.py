@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 BINS_PER_E = 10_000
 _ZERO = 7_500_000  # above |ln| of the smallest double times BINS_PER_E
-_SIZE = f"int(floor(ln(abs(v)) * {BINS_PER_E})) + {_ZERO}"
-_BIN = f"CASE WHEN v > 0 THEN {_SIZE} WHEN v < 0 THEN -({_SIZE}) ELSE 0 END"
+_SIZE = f"int(floor(ln(abs(same)) * {BINS_PER_E})) + {_ZERO}"
+_BIN = f"CASE WHEN same > 0 THEN {_SIZE} WHEN same < 0 THEN -({_SIZE}) ELSE 0 END"
 FEW_ROWS = 1_000_000  # up to here one task may hold every value
 
 
@@ -63,10 +63,9 @@ def quantiles(
     probs = [float(p) for p in probs]
     if known_rows is not None and known_rows <= FEW_ROWS:
         return (
-            df.where(F.col(value).isNotNull())
-            .groupBy(*by)
+            df.groupBy(*by)
             .agg(
-                F.count("*").alias("n"),
+                F.count(value).alias("n"),
                 F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, probs))).alias(
                     "quantiles"
                 ),
@@ -79,10 +78,12 @@ def quantiles(
         df = df.withColumn("_all", F.lit(0))
     hits = _hits(probs)
     counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.expr(f"double({value}) + 0D").alias("v"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("bin", F.expr(_BIN))
+        df.groupBy(*keys, F.expr(f"double({value}) + 0D").alias("v"))
+        # `same` is v again, but as an aggregate: conditions on it stay above the counting
+        # and are not rewritten in terms of the input
+        .agg(F.count("*").alias("n"), F.max(F.expr(f"double({value}) + 0D")).alias("same"))
+        .where("same IS NOT NULL")
+        .select(*keys, "v", "n", F.expr(_BIN).alias("bin"))
         # stated here so that both uses below keep one plan and share its shuffle
         .where("bin IS NOT NULL")
     )
