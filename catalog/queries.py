@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -296,18 +297,21 @@ def _(w):
     return kept.select(*KEY, "threat_category", "seq")
 
 
-@query("s17_importance_loader", f"select feature, rank from ({_importance_sql}) where rank <= 5")
+@query("s17_importance_loader", f"select feature, rank from ({_importance_sql})")
 def _(w):
     path = store.scratch_path(w.spark, "importance")
     store.write_importance(_importance(w), path)
-    return store.read_importance(w.spark, path).where("rank <= 5").select("feature", "rank")
+    return store.read_importance(w.spark, path).select("feature", "rank")
 
 
 @query("s18_reuse_scores", f"select {UD}, dq as data_quality_risk, confirmed as confirmed_threat from scores")
 def _(w):
     path = store.scratch_path(w.spark, "scores")
-    first = store.read_or_make(w.spark, path, lambda: w.scores)
-    again = store.read_or_make(w.spark, path, lambda: first.limit(0))
+    def unexpected():
+        raise AssertionError("stored scores were not reused")
+
+    store.read_or_make(w.spark, path, lambda: w.scores)
+    again = store.read_or_make(w.spark, path, unexpected)
     return again.select(*KEY, "data_quality_risk", "confirmed_threat")
 
 
@@ -397,10 +401,11 @@ def _(w):
     return gates.require_rows(w.live, "live").agg(F.count("*").alias("n"))
 
 
-@query("p09_numeric_columns", "select unnest([%s]) as feature" % cols(f"'{f}'" for f in FEATURES))
+@query("p09_numeric_columns", " union all ".join(f"select '{f}' as feature, count({f}) as observed from fused_l" for f in FEATURES))
 def _(w):
     found = gates.numeric_columns(w.live)
-    return w.live.limit(1).select(F.explode(F.array(*map(F.lit, found))).alias("feature"))
+    counted = w.live.agg(*[F.count(f).alias(f) for f in found])
+    return counted.unpivot([], found, "feature", "observed")
 
 
 @query(
@@ -1351,6 +1356,17 @@ def _(w):
     )
 
 
+@query("e07_full_diagnostic")
+def _(w):
+    job = detect.run(w.logs, activity.HISTORY, activity.LIVE, SMALL_FOREST, activity.KEYWORDS)
+    sections = detect.full_diagnostics(job["scores"], job["live"], job["model"])
+    parts = [
+        df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("row"))
+        for name, df in sections.items()
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 @query("e08_run")
 def _(w):
     result = detect.run(

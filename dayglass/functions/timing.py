@@ -15,7 +15,7 @@ OPEN_HOUR, CLOSE_HOUR = 6, 18  # fixed values: working hours 06:00-18:00
 def event_time(text: Column, strict: bool = True) -> Column:
     """Parse the log timestamp; strict aborts on a bad one, otherwise it becomes null."""
     if strict:
-        return F.to_timestamp(text, EVENT_TIME_FORMAT).cast("timestamp_ntz")
+        return F.to_timestamp_ntz(text, F.lit(EVENT_TIME_FORMAT))
     return F.try_to_timestamp(text, F.lit(EVENT_TIME_FORMAT)).cast("timestamp_ntz")
 
 

@@ -2,7 +2,7 @@
 
 Equal values are counted first, so a value that makes up a third of all rows is one
 row after the map side. A logarithmic histogram of those counts (relative bin width
-1e-4) is small whatever the data size; its running sum tells which bins hold the
+1e-5) is small whatever the data size; its running sum tells which bins hold the
 wanted ranks, and only those bins are sorted, each in its own task. The counted
 values feed both steps from the same shuffle, so the input is read once.
 """
@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS_PER_E = 10_000
-_ZERO = 7_500_000  # above |ln| of the smallest double times BINS_PER_E
+BINS_PER_E = 100_000
+_ZERO = 75_000_000  # above |ln| of the smallest double times BINS_PER_E
 _SIZE = f"int(floor(ln(abs(same)) * {BINS_PER_E})) + {_ZERO}"
 _BIN = f"CASE WHEN same > 0 THEN {_SIZE} WHEN same < 0 THEN -({_SIZE}) ELSE 0 END"
 FEW_ROWS = 1_000_000  # up to here one task may hold every value
