@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayglass.llm import packing
+from dayglass.llm import packing, sentencepiece_codec, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -26,3 +26,17 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens; only tokens bind."""
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), packing.Capacity(tokens=2048))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document, and where 512 of them end."""
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document and whether they decode to it."""
+    docs = table(spark, sf_dir, "documents")
+    return sentencepiece_codec.encoding_digest(docs, public_tokenizers.path("piece_bpe_32k.model"))
