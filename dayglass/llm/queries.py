@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayglass.llm import packing, sentencepiece_codec, token_counts
+from dayglass.llm import ann, packing, sentencepiece_codec, token_counts, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -40,3 +40,31 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document and whether they decode to it."""
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_codec.encoding_digest(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+_GROUP = "translate(lpad(upper(to_base(('0x' || substr(hex, {0}, 10))::bigint, 32)), 8, '0'), '{1}', '{2}')"
+ORACLE["op9_warc"] = f"""
+with digests as (
+    select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as hex from pages
+), named as (
+    select page_id, payload_bytes, max(page_id) over (partition by hex) as kept,
+           {" || ".join(_GROUP.format(k, warc.PLAIN_DIGITS, warc.RFC_DIGITS) for k in (1, 11, 21, 31))} as payload_digest
+    from digests
+)
+select page_id, payload_bytes, payload_digest,
+       case when page_id < kept then 'revisit' else 'response' end as record_type,
+       case when page_id < kept then kept end as refers_to
+from named
+"""
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by inner product of every twentieth, among all."""
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), every=20, k=20)
