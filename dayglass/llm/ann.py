@@ -87,6 +87,9 @@ def _link(vectors: np.ndarray, degree: int, width: int) -> np.ndarray:
         chosen[start : start + len(block), : picked.shape[1]] = np.where(picked < 0, -1, found)
     source, slot = np.nonzero(chosen >= 0)
     target = chosen[source, slot]
+    target = target.astype("i8")
+    mutual = np.isin(target * n + source, source * n + target)
+    source, target = source[~mutual], target[~mutual]  # linked both ways already
     closeness = np.einsum("ij,ij->i", vectors[source], vectors[target])
     order = np.lexsort((-closeness, target))
     source, target = source[order], target[order]

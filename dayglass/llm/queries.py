@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayglass.llm import ann, packing, sentencepiece_codec, token_counts, warc
+from dayglass.llm import ann, fingerprints, packing, sentencepiece_codec, token_counts, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -68,3 +68,9 @@ from named
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors by inner product of every twentieth, among all."""
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint beside that of its edited text and of the next one."""
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
