@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayglass.llm import ann, fingerprints, packing, quality, sentencepiece_codec, token_counts, toxicity, warc
+from dayglass.llm import ann, fingerprints, near_dedup, packing, quality, sentencepiece_codec, token_counts, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +86,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under the trusted ones, and its language's threshold."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and its class of texts that are alike by 0.8 or more."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
