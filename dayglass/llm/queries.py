@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayglass.llm import ann, fingerprints, near_dedup, packing, quality, sentencepiece_codec, token_counts, toxicity, warc
+from dayglass.llm import ann, fingerprints, near_dedup, packing, quality, sentencepiece_codec, substring, token_counts, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -92,3 +92,33 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and its class of texts that are alike by 0.8 or more."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 20 words that start earlier elsewhere."""
+    return substring.removal_digest(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op8_substring_dedup"] = r"""
+with texts as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), placed as (
+    select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos from texts
+), windows as (
+    select doc_id, pos, string_agg(word, ' ') over w as passage, count(*) over w as n
+    from placed window w as (partition by doc_id order by pos rows between current row and 19 following)
+), late as (
+    select doc_id, pos from windows where n = 20
+    qualify row_number() over (partition by passage order by doc_id, pos) > 1
+), removed as (
+    select distinct doc_id, unnest(generate_series(pos, pos + 19)) as pos from late
+), kept as (
+    select p.doc_id, count(r.pos) as n_removed,
+           string_agg(p.word, ' ' order by p.pos) filter (where r.pos is null) as kept_text
+    from placed p left join removed r on p.doc_id = r.doc_id and p.pos = r.pos group by p.doc_id
+)
+select t.doc_id, len(t.words)::bigint as n_words, coalesce(k.n_removed, 0) as n_removed,
+       sha256(coalesce(k.kept_text, '')) as kept_sha256
+from texts t left join kept k on t.doc_id = k.doc_id
+"""
