@@ -215,6 +215,6 @@ def keep_one(docs: DataFrame, m: Matching = Matching()) -> DataFrame:
 
     A document without id belongs to no class and stays; of rows that share an id one stays.
     """
-    kept = near_duplicates(docs, m).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("bigint") == F.col("_kept"), "left_semi")
+    kept = near_duplicates(docs, m).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("bigint") == F.col("__kept"), "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

@@ -286,10 +286,10 @@ def without_repeats(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     """All rows of `docs` with their columns; texts that lose words are their kept words,
     joined by a space. Untouched texts stay as they are; a null text stays null."""
     found = find_repeats(docs, p)
-    cuts = found.cuts.withColumnsRenamed({"node": "_node", "text_no": "_text_no", "cuts": "_cuts"})
+    cuts = found.cuts.withColumnsRenamed({"node": "__node", "text_no": "__text_no", "cuts": "__cuts"})
     first = found.rows.where(F.col("n_words") >= p.window).select("node", "text_no").join(found.first, "text_no").where("node > first")
-    copies = first.select(F.col("node").alias("_node"), F.col("text_no").alias("_text_no"), F.lit(True).alias("_copy")).distinct()
-    marks = cuts.join(copies, ["_node", "_text_no"], "full")
+    copies = first.select(F.col("node").alias("__node"), F.col("text_no").alias("__text_no"), F.lit(True).alias("__copy")).distinct()
+    marks = cuts.join(copies, ["__node", "__text_no"], "full")
 
     def cut(text: pa.Array, cuts: pa.Array) -> pa.Array:
         return pa.array(
@@ -297,8 +297,8 @@ def without_repeats(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
             pa.string(),
         )
 
-    named = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)))
+    named = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)))
     text_no = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    joined = named.join(marks, (F.col("_key") == F.col("_node")) & (text_no == F.col("_text_no")), "left")
-    kept = F.when(F.col("_copy"), F.lit("")).when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.arrow_udf(cut, "string")("text", "_cuts"))
+    joined = named.join(marks, (F.col("__key") == F.col("__node")) & (text_no == F.col("__text_no")), "left")
+    kept = F.when(F.col("__copy"), F.lit("")).when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.arrow_udf(cut, "string")("text", "__cuts"))
     return joined.withColumn("text", kept).select(*docs.columns)
