@@ -33,7 +33,9 @@ def test_plan_keeps_every_capacity(rule, limits):
         assert at <= most[0] and len(pieces) <= most[1] and sum(n * n for _, n in pieces) <= most[2]
     assert sum(map(len, bins.values())) == sum(counts.values())
     if rule == "norm" and limits[1:] == (None, None):
-        assert len(bins) == -(-sum(n * c for n, c in counts.items()) // 64)
+        # no packing is below this; best-fit decreasing is within 11/9 of the best
+        least = max(-(-sum(n * c for n, c in counts.items()) // 64), sum(c for n, c in counts.items() if n > 32))
+        assert least <= len(bins) <= 11 / 9 * least + 1
 
 
 def test_same_as_one_by_one_best_fit():
