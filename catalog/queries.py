@@ -233,12 +233,12 @@ def _(w):
     return store.read_importance(w.spark, path)
 
 
-SMALL_FOREST = Params(min_history_days=C.MIN_HISTORY, trees=40, subsample=128)
+DETECTOR = Params(min_history_days=C.MIN_HISTORY)  # forest of the default size
 
 
 @query("s13_model_tables")
 def _(w):
-    fitted = model.fit(w.fused(activity.HISTORY), SMALL_FOREST, "v1")
+    fitted = model.fit(w.fused(activity.HISTORY), DETECTOR, "v1")
     path = store.scratch_path(w.spark, "models")
     model.save_model(fitted, path)
     return model.score(w.live, model.load_model(w.spark, path, "v1"))
@@ -390,21 +390,22 @@ def _(w):
     return fusion.align(w.sources()["logon"])
 
 
-@query("p07_project_by_name", f"select {UD}, {cols(sorted(FEATURES))} from fused_l")
+@query("p07_project_by_name", f"select {UD}, {cols(sorted(FEATURES))} from fused_a")
 def _(w):
-    shuffled = w.live.select(*reversed(FEATURES), *KEY)
+    shuffled = w.fused().select(*reversed(FEATURES), *KEY)
     return fusion.align(shuffled)
 
 
-@query("p08_fail_on_empty", "select count(*) as n from fused_l")
+@query("p08_fail_on_empty", "select count(*) as n from fused_a")
 def _(w):
-    return gates.require_rows(w.live, "live").agg(F.count("*").alias("n"))
+    return gates.require_rows(w.fused(), "matrix").agg(F.count("*").alias("n"))
 
 
-@query("p09_numeric_columns", " union all ".join(f"select '{f}' as feature, count({f}) as observed from fused_l" for f in FEATURES))
+@query("p09_numeric_columns", " union all ".join(f"select '{f}' as feature, count({f}) as observed from fused_a" for f in FEATURES))
 def _(w):
-    found = gates.numeric_columns(w.live)
-    counted = w.live.agg(*[F.count(f).alias(f) for f in found])
+    matrix = w.fused()
+    found = gates.numeric_columns(matrix)
+    counted = matrix.agg(*[F.count(f).alias(f) for f in found])
     return counted.unpivot([], found, "feature", "observed")
 
 
@@ -678,9 +679,9 @@ def _(w):
     return rounded(table)
 
 
-@query("a24_null_audit", " union all ".join(f"select '{f}' as feature, count(*) filter ({f} is null) as nulls from fused_l" for f in FEATURES))
+@query("a24_null_audit", " union all ".join(f"select '{f}' as feature, count(*) filter ({f} is null) as nulls from fused_a" for f in FEATURES))
 def _(w):
-    return fusion.null_audit(w.live)
+    return fusion.null_audit(w.fused())
 
 
 @query(
@@ -985,9 +986,9 @@ def _(w):
     return diagnostics.live_thresholds(w.scores, C.ISO_THRESHOLD)
 
 
-@query("u05_keyed_union", f"select {UD}, {cols(f'{f}::double as {f}' for f in FEATURES)}, has_logon, has_http, has_email from stack_l")
+@query("u05_keyed_union", f"select {UD}, {cols(f'{f}::double as {f}' for f in FEATURES)}, has_logon, has_http, has_email from stack_a")
 def _(w):
-    return fusion.stack_sources(**w.sources(activity.LIVE))
+    return fusion.stack_sources(**w.sources())
 
 
 # --- scoring --------------------------------------------------------------------------
@@ -1078,7 +1079,7 @@ def _(w):
 @query("m11_fit_forest")
 def _(w):
     x = IF.model_input(fusion.align(w.history), 0.0, None, prefix="")
-    return IF.fit_forest(x, w.history.count(), SMALL_FOREST)
+    return IF.fit_forest(x, w.history.count(), DETECTOR)
 
 
 @query("m12_decision_score", f"select {UD}, round(iso, 6) as iso_forest_raw_score from judged")
@@ -1297,27 +1298,26 @@ ORACLE["m34_population_verdict"] = C.with_ctes(
 
 @query("m35_population_forest")
 def _(w):
-    params = Params(trees=20, subsample=128, contamination=None, missing_data_tolerance=0.2)
-    fitted = population.fit_population(w.fused(activity.HISTORY, fill="blanket"), params)
+    fitted = population.fit_population(w.fused(activity.HISTORY, fill="blanket"))
     return population.score_population(w.fused(activity.LIVE, fill="blanket"), fitted)
 
 
 # --- pipelines ------------------------------------------------------------------------
 
 
-@query("e01_extract_features", f"select {UD}, {cols(f'{f}::double as {f}' for f in FEATURES)} from stack_h")
+@query("e01_extract_features", f"select {UD}, {cols(f'{f}::double as {f}' for f in FEATURES)} from stack_a")
 def _(w):
-    return fusion.stack_sources(**w.sources(activity.HISTORY)).select(*KEY, *FEATURES)
+    return fusion.stack_sources(**w.sources()).select(*KEY, *FEATURES)
 
 
-@query("e02_fuse", f"select {UD}, {cols(FEATURES)} from fused_l")
+@query("e02_fuse", f"select {UD}, {cols(FEATURES)} from fused_a")
 def _(w):
-    return w.live
+    return w.fused()
 
 
 @query("e03_fit_detector")
 def _(w):
-    fitted = model.fit(w.fused(activity.HISTORY), SMALL_FOREST)
+    fitted = model.fit(w.fused(activity.HISTORY), DETECTOR)
     return fitted.forest_table
 
 
@@ -1332,7 +1332,7 @@ def _(w):
 
 @query("e04b_fit_and_score")
 def _(w):
-    fitted = model.fit(w.fused(activity.HISTORY), SMALL_FOREST)
+    fitted = model.fit(w.fused(activity.HISTORY), DETECTOR)
     return model.score(w.live, fitted)
 
 
@@ -1358,7 +1358,7 @@ def _(w):
 
 @query("e07_full_diagnostic")
 def _(w):
-    job = detect.run(w.logs, activity.HISTORY, activity.LIVE, SMALL_FOREST, activity.KEYWORDS)
+    job = detect.run(w.logs, activity.HISTORY, activity.LIVE, DETECTOR, activity.KEYWORDS)
     sections = detect.full_diagnostics(job["scores"], job["live"], job["model"])
     parts = [
         df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("row"))
@@ -1370,6 +1370,6 @@ def _(w):
 @query("e08_run")
 def _(w):
     result = detect.run(
-        w.logs, activity.HISTORY, activity.LIVE, SMALL_FOREST, activity.KEYWORDS
+        w.logs, activity.HISTORY, activity.LIVE, DETECTOR, activity.KEYWORDS
     )
     return result["report"]

@@ -68,8 +68,7 @@ class World:
 
     @cached_property
     def population(self) -> dict:
-        known = self.history.count()
-        return baseline.fetch_global(baseline.global_baseline(self.history, self.params, known))
+        return baseline.fetch_global(baseline.global_baseline(self.history, self.params))
 
     def z(self, df: DataFrame) -> DataFrame:
         routed = baseline.routed(df, self.baseline, self.population, self.params)

@@ -64,25 +64,21 @@ def cells(df: DataFrame, prefix: str = "") -> DataFrame:
     )
 
 
-def global_baseline(
-    history: DataFrame, params: Params = Params(), known_rows: int | None = None
-) -> DataFrame:
+def global_baseline(history: DataFrame, params: Params = Params()) -> DataFrame:
     """Population statistics: rows (feature, median, mad, p95)."""
-    return global_from_cells(cells(history), params, known_rows)
+    return global_from_cells(cells(history), params)
 
 
-def global_from_cells(
-    values: DataFrame, params: Params = Params(), known_rows: int | None = None
-) -> DataFrame:
+def global_from_cells(values: DataFrame, params: Params = Params()) -> DataFrame:
     """Population statistics of (feature, value) cells, nulls skipped."""
-    location = quantiles(values, "value", (0.5, 0.95), ["feature"], known_rows).select(
+    location = quantiles(values, "value", (0.5, 0.95), ["feature"]).select(
         "feature", F.get("quantiles", F.lit(0)).alias("median"), F.get("quantiles", F.lit(1)).alias("p95")
     )
     # one row per feature
     off = values.join(F.broadcast(location), "feature").select(
         "feature", F.abs(F.col("value") - F.col("median")).alias("off")
     )
-    spread = quantiles(off, "off", (0.5,), ["feature"], known_rows).select(
+    spread = quantiles(off, "off", (0.5,), ["feature"]).select(
         "feature", (F.get("quantiles", F.lit(0)) / mad_divisor(params)).alias("mad")
     )
     return location.join(F.broadcast(spread), "feature").select("feature", "median", "mad", "p95")
@@ -153,18 +149,18 @@ def known_users(live: DataFrame, baseline: DataFrame) -> DataFrame:
     return live.select("user").distinct().join(baseline.select("user"), "user", "left_semi")
 
 
-def fill_value(scores: DataFrame, known_rows: int | None = None) -> DataFrame:
+def fill_value(scores: DataFrame) -> DataFrame:
     """Median over all z cells: one row (fill_value). Stands in for unobserved cells."""
-    return quantiles(cells(scores), "value", (0.5,), known_rows=known_rows).select(
+    return quantiles(cells(scores), "value", (0.5,)).select(
         F.get("quantiles", F.lit(0)).alias("fill_value")
     )
 
 
-def scaling(scores: DataFrame, fill: float, known_rows: int | None = None) -> DataFrame:
+def scaling(scores: DataFrame, fill: float) -> DataFrame:
     """Robust scaling of the filled z matrix: rows (feature, center, q25, q75, scale)."""
     filled = cells(scores).withColumn("value", F.coalesce("value", F.lit(float(fill))))
     q = lambda i: F.get("quantiles", F.lit(i))
-    return quantiles(filled, "value", (0.25, 0.5, 0.75), ["feature"], known_rows).select(
+    return quantiles(filled, "value", (0.25, 0.5, 0.75), ["feature"]).select(
         "feature",
         q(1).alias("center"),
         q(0).alias("q25"),

@@ -39,12 +39,10 @@ def with_flags(df: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
-def critical_ratio(
-    flagged: DataFrame, params: Params = Params(), known_rows: int | None = None
-) -> DataFrame:
+def critical_ratio(flagged: DataFrame, params: Params = Params()) -> DataFrame:
     """One row (active_rows, critical_flag_ratio) from the positive training ratios."""
     active = flagged.selectExpr("IF(mad_flag_ratio > 0, mad_flag_ratio, NULL) AS active")
-    q = quantiles(active, "active", (params.mad_flag_percentile / 100.0,), known_rows=known_rows)
+    q = quantiles(active, "active", (params.mad_flag_percentile / 100.0,))
     fitted = q.select("n", F.get("quantiles", F.lit(0)).alias("q"))
     # an aggregate, so that no active row at all still gives the default
     one = fitted.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("q").alias("q"))

@@ -9,7 +9,7 @@ from collections.abc import Iterator, Mapping
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,16 +42,22 @@ def sample_rows(df: DataFrame, n: int, seed: int, total: int, order: tuple[str,
     """The n rows with the smallest seeded key hash: independent of partitioning.
 
     The hash is uniform, so a cut slightly above n/total leaves few candidates; only
-    those are ordered.
+    those are ordered. The cut widens until it holds n rows.
     """
     digest = F.xxhash64(*[F.col(c) for c in order], F.lit(seed))
     marked = df.withColumn("_digest", digest)
     share = (n + 8 * math.sqrt(n) + 64) / max(total, 1)
-    if share < 0.5:
-        near = marked.where(F.col("_digest") < int(-(2**63) + share * 2**64))
-        if near.count() >= n:
-            marked = near
-    return marked.orderBy("_digest", *order).limit(n).drop("_digest")
+    while True:
+        near = marked.where(F.col("_digest") <= min(2**63 - 1, int(-(2**63) + share * 2**64)))
+        if share >= 1 or near.count() >= n:
+            return near.orderBy("_digest", *order).limit(n).drop("_digest")
+        share *= 2
+
+
+def spread(spark: SparkSession, most: int | None = None) -> int:
+    """Tasks for costly rows: a stated number is not coalesced to fewer."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    return tasks if most is None else max(1, min(tasks, most))
 
 
 def fit_forest(
@@ -97,7 +103,8 @@ def fit_forest(
         )
 
     picks = spark.range(n_trees).mapInPandas(draw, "tree int, pos long")
-    return picks.join(numbered, "pos").groupBy("tree").applyInPandas(plant, FOREST_SCHEMA)
+    drawn = picks.join(numbered, "pos").repartition(spread(spark, n_trees), "tree")
+    return drawn.groupBy("tree").applyInPandas(plant, FOREST_SCHEMA)
 
 
 def load_forest(table: DataFrame, subsample: int) -> Forest:
@@ -133,19 +140,20 @@ def raw_score(df: DataFrame, forest: Forest, prefix: str = "x_") -> Column:
     return score.asNondeterministic()(*[F.col(f"{prefix}{f}") for f in FEATURES])
 
 
-def score_table(scores: DataFrame, column: str = "raw", known_rows: int | None = None) -> DataFrame:
+def score_table(scores: DataFrame, column: str = "raw") -> DataFrame:
     """The stored training score table: one row (n, quantiles array<double>)."""
-    return quantiles(scores, column, even_grid(SCORE_POINTS), known_rows=known_rows)
+    return quantiles(scores, column, even_grid(SCORE_POINTS))
 
 
 def calibrated_percentile(score: Column, points: list[float]) -> Column:
-    """Share of the stored training scores not above `score`."""
-    below = F.aggregate(
-        F.array(*[F.lit(p) for p in points]),
-        F.lit(0),
-        lambda acc, p: acc + F.when(p <= score, 1).otherwise(0),
-    )
-    return below / F.lit(float(len(points)))
+    """Share of the stored training scores not above `score`; null for null."""
+    ordered = np.sort(np.asarray(points, dtype=float))
+
+    @F.pandas_udf("double")
+    def share(values: pd.Series) -> pd.Series:
+        return (np.searchsorted(ordered, values, side="right") / len(ordered)) + 0 * values
+
+    return share(score)
 
 
 def importance(attributed: DataFrame, column: str = "phi") -> DataFrame:

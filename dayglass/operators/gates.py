@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from dayglass.contract import FEATURES, KEY
 from dayglass.operators.fusion import require_key
@@ -48,6 +49,14 @@ def validate(df: DataFrame, name: str = "input") -> DataFrame:
     return df
 
 
+def require_unique(df: DataFrame) -> DataFrame:
+    """`df`, whose evaluation aborts at a repeated user-day: a window, no further scan."""
+    n = F.count("*").over(W.partitionBy(*KEY))
+    text = F.concat(F.lit("repeated user-day: "), F.concat_ws(" ", *[F.col(k).cast("string") for k in KEY]))
+    once = F.when(F.col("_n") == 1, True).otherwise(F.raise_error(text).cast("boolean"))
+    return df.withColumn("_n", n).where(once).drop("_n")
+
+
 def feature_drift(
     df: DataFrame, trained: Sequence[str] = FEATURES, mode: str = "warn"
 ) -> dict[str, list[str]]:

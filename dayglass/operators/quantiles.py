@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 BINS_PER_E = 100_000
 _ZERO = 75_000_000  # above |ln| of the smallest double times BINS_PER_E
-_SIZE = f"int(floor(ln(abs(same)) * {BINS_PER_E})) + {_ZERO}"
-_BIN = f"CASE WHEN same > 0 THEN {_SIZE} WHEN same < 0 THEN -({_SIZE}) ELSE 0 END"
-FEW_ROWS = 1_000_000  # up to here one task may hold every value
+_END = 2**62  # the bins of the infinities
+_SIZE = f"IF(abs(same) = double('inf'), {_END}L, bigint(floor(ln(abs(same)) * {BINS_PER_E})) + {_ZERO}L)"
+_BIN = f"CASE WHEN same > 0 THEN {_SIZE} WHEN same < 0 THEN -({_SIZE}) ELSE 0L END"
 
 
 def even_grid(points: int) -> list[float]:
@@ -53,35 +53,24 @@ def quantiles(
     value: str,
     probs: Sequence[float],
     by: Sequence[str] = (),
-    known_rows: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group: rows (by..., n, quantiles array<double>).
 
-    Nulls are skipped; a group without values has no row. With `known_rows`, the
-    counted size of `df`, small inputs take the plain aggregate.
+    Nulls and NaN are skipped; a group without values has no row. Infinities are the
+    smallest and greatest values; between one and a finite value lies the infinity.
     """
     probs = [float(p) for p in probs]
-    if known_rows is not None and known_rows <= FEW_ROWS:
-        return (
-            df.groupBy(*by)
-            .agg(
-                F.count(value).alias("n"),
-                F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, probs))).alias(
-                    "quantiles"
-                ),
-            )
-            .where("n > 0")
-        )
     keys = list(by) or ["_all"]
     key_sql = ", ".join(keys)
     if not by:
         df = df.withColumn("_all", F.lit(0))
     hits = _hits(probs)
+    number = f"nullif(double({value}) + 0D, double('NaN'))"
     counted = (
-        df.groupBy(*keys, F.expr(f"double({value}) + 0D").alias("v"))
+        df.groupBy(*keys, F.expr(number).alias("v"))
         # `same` is v again, but as an aggregate: conditions on it stay above the counting
         # and are not rewritten in terms of the input
-        .agg(F.count("*").alias("n"), F.max(F.expr(f"double({value}) + 0D")).alias("same"))
+        .agg(F.count("*").alias("n"), F.max(F.expr(number)).alias("same"))
         .where("same IS NOT NULL")
         .select(*keys, "v", "n", F.expr(_BIN).alias("bin"))
         # stated here so that both uses below keep one plan and share its shuffle
@@ -100,8 +89,7 @@ def quantiles(
         .select(*keys, "bin", F.col("before").alias("bin_before"), "total")
     )
     picked = (
-        # at most two bins per group and probability
-        counted.join(F.broadcast(bins), [*keys, "bin"])
+        counted.join(bins, [*keys, "bin"])
         .selectExpr(
             "*",
             f"bin_before + coalesce(sum(n) OVER (PARTITION BY {key_sql}, bin ORDER BY v {in_order}), 0) AS before",
@@ -112,7 +100,9 @@ def quantiles(
         .agg(F.expr("array_sort(collect_list(struct(hit.i, hit.upper, v))).v").alias("e"))
     )
     p_sql = ", ".join(f"{p!r}D" for p in probs)
-    value_at = "get(e, 2 * i) + (get(e, 2 * i + 1) - get(e, 2 * i)) * (p * (total - 1) - floor(p * (total - 1)))"
+    low, high = "get(e, 2 * i)", "get(e, 2 * i + 1)"
+    between = f"{low} + ({high} - {low}) * (p * (total - 1) - floor(p * (total - 1)))"
+    value_at = f"IF({low} IN ({high}, double('-inf')), {low}, {between})"
     return picked.selectExpr(
         *by, "total AS n", f"transform(array({p_sql}), (p, i) -> {value_at}) AS quantiles"
     )

@@ -13,6 +13,7 @@ from dayglass.operators import attribution, baseline, diagnostics
 from dayglass.operators import forest as IF
 from dayglass.operators.features import KEYWORDS, email_features, http_features, logon_features
 from dayglass.operators.fusion import align, fuse, require_nulls
+from dayglass.operators.gates import require_rows
 from dayglass.plans.model import Model, fit, score
 from dayglass.sources.store import materialize
 
@@ -61,7 +62,8 @@ def explain(
     chosen = attribution.with_raw_features(scores.select(*KEY, *kept), align(features), flags)
     routed = baseline.routed(chosen, model.baseline, model.population, model.params)
     scored = baseline.with_self_scores(routed, model.params)
-    ready = IF.model_input(scored, model.thresholds.fill_value, model.scaling).repartition(*KEY)
+    ready = IF.model_input(scored, model.thresholds.fill_value, model.scaling)
+    ready = ready.repartition(IF.spread(ready.sparkSession), *KEY)  # a stated number stays
     attributed = ready.withColumn("phi", IF.contributions(ready, model.forest))
     return attribution.alerts(
         attributed, model.params, model.thresholds.fill_value, top_n, direction
@@ -103,7 +105,10 @@ def full_diagnostics(scores: DataFrame, live: DataFrame, model: Model) -> dict[s
         "tolerance_what_if": diagnostics.tolerance_what_if(
             align(live), model.params.missing_data_tolerance
         ),
+        "score_position": diagnostics.score_position(scores, t.iso_threshold),
+        "score_summary": diagnostics.score_summary(scores),
         "feature_flag_rates": diagnostics.feature_flag_rates(scores),
+        "dead_features": diagnostics.dead_features(scores),
         "user_coverage": diagnostics.user_coverage(scores, model.baseline),
         "top_threat_users": diagnostics.top_threat_users(scores, model.baseline),
         "recommendations": diagnostics.recommendations(scores),
@@ -121,7 +126,7 @@ def run(
 ) -> dict[str, DataFrame | Model]:
     """Fit on one window, score and explain another."""
     model = fit(matrix(logs, history_window, keywords), params, version)
-    live = materialize(matrix(logs, live_window, keywords), "live")
+    live = require_rows(materialize(matrix(logs, live_window, keywords), "live"), "live")
     require_nulls(live)
     scores = materialize(score(live, model), "scores")
     alerts = explain(scores, live, model, top_n=top_n)

@@ -16,9 +16,9 @@ from dayglass.operators import baseline as B
 from dayglass.operators import flags
 from dayglass.operators import forest as IF
 from dayglass.operators.fusion import align
-from dayglass.operators.gates import feature_drift, validate
+from dayglass.operators.gates import feature_drift, require_unique, validate
 from dayglass.operators.quantiles import quantiles
-from dayglass.sources.store import materialize
+from dayglass.sources.store import existing, materialize
 
 log = logging.getLogger(__name__)
 
@@ -60,7 +60,7 @@ def fit(history: DataFrame, params: Params = Params(), version: str = "1") -> Mo
     history = validate(materialize(align(history), "history"), "history")
     rows = history.count()
     base = materialize(B.user_baseline(history, params), "baseline")
-    population = B.fetch_global(B.global_baseline(history, params, rows))
+    population = B.fetch_global(B.global_baseline(history, params))
     # every history row is its user's own: the batch rule and the history rule agree here
     own = replace(params, route_on="history")
     z = materialize(
@@ -69,15 +69,15 @@ def fit(history: DataFrame, params: Params = Params(), version: str = "1") -> Mo
         ),
         "self-scores",
     )
-    critical = flags.critical_ratio(z, params, rows).first()["critical_flag_ratio"]
-    fill_row = B.fill_value(z, rows).first()
+    critical = flags.critical_ratio(z, params).first()["critical_flag_ratio"]
+    fill_row = B.fill_value(z).first()
     fill = fill_row["fill_value"] if fill_row else 0.0
-    scaling = {r["feature"]: (r["center"], r["scale"]) for r in B.scaling(z, fill, rows).collect()}
+    scaling = {r["feature"]: (r["center"], r["scale"]) for r in B.scaling(z, fill).collect()}
     x = IF.model_input(z, fill, scaling, prefix="")
     table = materialize(IF.fit_forest(x, rows, params), "forest")
     forest = IF.load_forest(table, min(params.subsample, rows))
     raw = materialize(x.select(IF.raw_score(x, forest).alias("raw")), "training-scores")
-    offset, threshold, points = fit_iso_thresholds(raw, params, rows)
+    offset, threshold, points = fit_iso_thresholds(raw, params)
     return Model(
         params=params,
         baseline=base,
@@ -91,20 +91,13 @@ def fit(history: DataFrame, params: Params = Params(), version: str = "1") -> Mo
     )
 
 
-def iso_offset(raw: DataFrame, params: Params, rows: int | None = None) -> float:
-    if params.contamination is None:
-        return IF.AUTO_OFFSET
-    return quantiles(raw, "raw", (params.contamination,), known_rows=rows).first()["quantiles"][0]
-
-
-def fit_iso_thresholds(
-    raw: DataFrame, params: Params, rows: int | None = None
-) -> tuple[float, float, list[float]]:
+def fit_iso_thresholds(raw: DataFrame, params: Params) -> tuple[float, float, list[float]]:
     """Offset, flag threshold and the stored score table, from raw training scores."""
-    offset = iso_offset(raw, params, rows)
     share = params.iso_flag_percentile / 100.0
-    threshold = quantiles(raw, "raw", (share,), known_rows=rows).first()["quantiles"][0]
-    points = IF.score_table(raw, known_rows=rows).first()["quantiles"]
+    asked = (share,) if params.contamination is None else (share, params.contamination)
+    threshold, *rest = quantiles(raw, "raw", asked).first()["quantiles"]
+    offset = rest[0] if rest else IF.AUTO_OFFSET
+    points = IF.score_table(raw).first()["quantiles"]
     return offset, threshold - offset, [p - offset for p in points]
 
 
@@ -126,13 +119,17 @@ SCORE_COLUMNS = (
 def self_scored(live: DataFrame, model: Model) -> DataFrame:
     """Live rows with stats, z, flags, and the forest's x columns."""
     params = model.params
-    routed = B.routed(align(live), model.baseline, model.population, params)
+    feature_drift(live)
+    routed = B.routed(require_unique(align(live)), model.baseline, model.population, params)
     flagged = flags.with_flags(B.with_self_scores(routed, params), params)
     return IF.model_input(flagged, model.thresholds.fill_value, model.scaling)
 
 
 def score(live: DataFrame, model: Model, iso_threshold: float | None = None) -> DataFrame:
-    """Score every user-day of `live`: one row per input row."""
+    """Score every user-day of `live`: one row per input row.
+
+    A repeated user-day aborts the job; missing and unknown features are logged.
+    """
     threshold = model.thresholds.iso_threshold if iso_threshold is None else iso_threshold
     ready = self_scored(live, model)
     raw = IF.raw_score(ready, model.forest) - model.thresholds.iso_offset
@@ -249,18 +246,17 @@ def save_model(model: Model, path: str) -> str:
 
 
 def load_model(spark: SparkSession, path: str, version: str) -> Model:
-    """Read the model tables back; a wrong checksum raises, a missing one warns."""
+    """Read the model tables back; a wrong or unreadable checksum raises, a missing one warns."""
     at = f"{path}/{version}"
     meta = spark.read.schema(_META).parquet(f"{at}/meta")
     base, table = spark.read.parquet(f"{at}/baseline"), spark.read.parquet(f"{at}/forest")
     found = meta.first()
     if found is None:
         raise ValueError(f"no fitted model at {at}")
-    try:
-        stored = spark.read.parquet(f"{at}/checksum").first()["checksum"]
-    except Exception as error:  # the folder is absent or unreadable
-        log.warning("model %s has no readable checksum: %s", at, type(error).__name__)
-        stored = None
+    kept = existing(spark, f"{at}/checksum")
+    if kept is None:
+        log.warning("model %s has no checksum", at)
+    stored = kept.first()["checksum"] if kept is not None else None
     live = meta.withColumns(
         {
             "baseline_digest": F.lit(table_digest(base).first()["digest"]),

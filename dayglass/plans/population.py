@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayglass.contract import FEATURES, KEY, Params
@@ -28,6 +29,7 @@ class PopulationModel:
     forest: Forest
     iso_threshold: float
     params: Params = PARAMS
+    forest_table: DataFrame | None = None
 
 
 def mean_minus_std(raw: DataFrame, offset: float = IF.AUTO_OFFSET) -> DataFrame:
@@ -39,12 +41,12 @@ def mean_minus_std(raw: DataFrame, offset: float = IF.AUTO_OFFSET) -> DataFrame:
 def fit_population(history: DataFrame, params: Params = PARAMS) -> PopulationModel:
     history = validate(materialize(align(history), "history"), "history")
     rows = history.count()
-    population = baseline.fetch_global(baseline.global_baseline(history, params, rows))
+    population = baseline.fetch_global(baseline.global_baseline(history, params))
     x = IF.model_input(history, 0.0, None, prefix="")
     table = materialize(IF.fit_forest(x, rows, params), "forest")
     forest = IF.load_forest(table, min(params.subsample, rows))
     threshold = mean_minus_std(x.select(IF.raw_score(x, forest).alias("raw"))).first()[0]
-    return PopulationModel(population, forest, threshold, params)
+    return PopulationModel(population, forest, threshold, params, table)
 
 
 def population_flags(live: DataFrame, population: dict, params: Params = PARAMS) -> DataFrame:
@@ -85,3 +87,25 @@ def score_population(live: DataFrame, model: PopulationModel) -> DataFrame:
 
 def with_threshold(model: PopulationModel, iso_threshold: float) -> PopulationModel:
     return replace(model, iso_threshold=iso_threshold)
+
+
+def save_population(model: PopulationModel, path: str) -> None:
+    """Write the forest table and the constants under `path`, which must not exist."""
+    if model.forest_table is None:
+        raise ValueError("the model has no forest table")
+    model.forest_table.write.mode("errorifexists").parquet(f"{path}/forest")
+    constants = (json.dumps(model.population), json.dumps(asdict(model.params)), model.iso_threshold, model.forest.subsample)
+    schema = "population string, params string, iso_threshold double, subsample int"
+    model.forest_table.sparkSession.createDataFrame([constants], schema).coalesce(1).write.mode("errorifexists").parquet(f"{path}/meta")
+
+
+def load_population(spark: SparkSession, path: str) -> PopulationModel:
+    meta = spark.read.parquet(f"{path}/meta").first()
+    table = spark.read.parquet(f"{path}/forest")
+    return PopulationModel(
+        json.loads(meta["population"]),
+        IF.load_forest(table, meta["subsample"]),
+        meta["iso_threshold"],
+        Params(**json.loads(meta["params"])),
+        table,
+    )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if shared:
         return shared
     master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
@@ -89,18 +90,38 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    """Rows of the newest run of every window; older runs are pruned at the scan."""
-    newest = runs.groupBy("window_name").agg(F.max("run_id").alias("run_id"))
-    return runs.join(newest, ["window_name", "run_id"], "left_semi")
+    """Rows of the newest run of every window.
+
+    The newest run ids (one a window) are read first from the partition columns, so that
+    the scan is filtered by literals and leaves the other runs' files alone.
+    """
+    newest = runs.groupBy("window_name").agg(F.max("run_id").alias("run_id")).collect()
+    wanted = F.lit(False)
+    for row in newest:
+        wanted |= (F.col("window_name") == row["window_name"]) & (F.col("run_id") == row["run_id"])
+    return runs.where(wanted)
+
+
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at `path`, or None where nothing is; any other failure raises."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def read_or_make(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at `path`; it is made and written first where none exists."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """The table at `path`; it is made and written first where nothing exists.
+
+    What is there is never overwritten, with or without a success marker.
+    """
+    found = existing(spark, path)
+    if found is None:
+        make().write.mode("errorifexists").parquet(path)
+        found = spark.read.parquet(path)
+    return found
 
 
 def write_report(report: DataFrame, path: str) -> None:

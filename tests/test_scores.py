@@ -26,7 +26,7 @@ def days(spark, table):
 def first_z(spark, history, live, params=Params()):
     h = days(spark, history)
     base = baseline.user_baseline(h, params)
-    population = baseline.fetch_global(baseline.global_baseline(h, params, 1))
+    population = baseline.fetch_global(baseline.global_baseline(h, params))
     z = baseline.self_scores(days(spark, live), base, population, params)
     return [r[FEATURES[0]] for r in z.orderBy("user", "activity_date").collect()]
 
@@ -70,11 +70,10 @@ def test_empty_feature_counts_as_zero_stats(spark):
     assert (s["median"], s["mad"], s["p95"]) == (0.0, 0.0, 0.0)
 
 
-@pytest.mark.parametrize("known", [None, 10])
-def test_global_baseline_matches_numpy(spark, known):
+def test_global_baseline_matches_numpy(spark):
     rng = np.random.default_rng(3)
     values = np.concatenate([np.zeros(40), rng.exponential(size=60), -rng.random(11)])
-    got = baseline.fetch_global(baseline.global_baseline(days(spark, {"u": values.tolist()}), Params(), known))
+    got = baseline.fetch_global(baseline.global_baseline(days(spark, {"u": values.tolist()}), Params()))
     med = np.median(values)
     want = (med, np.median(np.abs(values - med)) / 0.6744897501960817, np.quantile(values, 0.95))
     stats = got[FEATURES[0]]
@@ -103,7 +102,7 @@ def test_quantiles_match_numpy_at_any_partitioning(spark):
 def test_critical_ratio_needs_thirty_active_rows(spark, n, want):
     df = spark.createDataFrame([(0.5,)] * n + [(0.0,)] * 5, "mad_flag_ratio double")
     assert flags.critical_ratio(df).first()["critical_flag_ratio"] == want
-    assert flags.critical_ratio(df, known_rows=n + 5).first()["critical_flag_ratio"] == want
+    assert flags.critical_ratio(df).first()["critical_flag_ratio"] == want
 
 
 def test_critical_ratio_edges(spark):
@@ -151,3 +150,17 @@ def test_hot_value_and_user(spark):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     got = quantiles(df, "v", (0.1, 0.5, 0.9)).first()["quantiles"]
     np.testing.assert_allclose(got, np.quantile(values, (0.1, 0.5, 0.9)), rtol=1e-12)
+
+
+def test_quantiles_skip_nan_and_order_infinities(spark):
+    from dayglass.operators.quantiles import quantiles
+
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", v) for v in (1.0, 2.0, nan, None)] + [("b", v) for v in (1.0, 2.0, inf)] + [("c", v) for v in (-inf, 5.0, 5.0)]
+    rows += [("d", 7.0)] * 5000 + [("d", float(k)) for k in range(2500)]
+    found = quantiles(spark.createDataFrame(rows, "g string, v double"), "v", (0.25, 0.5, 1.0), ["g"])
+    got = {r["g"]: (r["n"], list(r["quantiles"])) for r in found.collect()}
+    assert got["a"] == (2, [1.25, 1.5, 2.0])
+    assert got["b"] == (3, [1.5, 2.0, inf])
+    assert got["c"] == (3, [-inf, 5.0, 5.0])
+    assert got["d"] == (7500, [7.0, 7.0, 2499.0])
