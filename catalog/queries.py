@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from catalog import ctes as C
 from catalog.world import PARAMS, World
@@ -1076,10 +1077,31 @@ def _(w):
     return rounded(IF.model_input(w.z(w.live), C.FILL, scale).select(*KEY, *[f"x_{f}" for f in FEATURES]))
 
 
-@query("m11_fit_forest")
+def _tree_rows(table: DataFrame) -> DataFrame:
+    """What every grown tree must keep to, one row a tree."""
+    leaf = F.col("feature").isNull()
+    roots = table.withColumn("root", F.col("node") == F.min("node").over(W.partitionBy("tree")))
+    return roots.groupBy("tree").agg(
+        F.max(F.when(F.col("root"), F.col("samples"))).alias("root_samples"),
+        F.sum(F.when(leaf, F.col("samples"))).alias("leaf_samples"),
+        (F.count("*") % 2 == 1).alias("odd_nodes"),
+        (F.count_if(leaf) == F.count_if(~leaf) + 1).alias("binary"),
+        F.every(leaf == F.col("cut").isNull()).alias("cuts_inside_only"),
+    )
+
+
+def _tree_sql(rows: str) -> str:
+    n = f"(select least({DETECTOR.subsample}, count(*)) from {rows})"
+    return (
+        f"select i::int as tree, {n} as root_samples, {n} as leaf_samples, true as odd_nodes, true as \"binary\", "
+        f"true as cuts_inside_only from range({DETECTOR.trees}) t(i)"
+    )
+
+
+@query("m11_fit_forest", _tree_sql("fused_h"))
 def _(w):
     x = IF.model_input(fusion.align(w.history), 0.0, None, prefix="")
-    return IF.fit_forest(x, w.history.count(), DETECTOR)
+    return _tree_rows(IF.fit_forest(x, w.history.count(), DETECTOR))
 
 
 @query("m12_decision_score", f"select {UD}, round(iso, 6) as iso_forest_raw_score from judged")
@@ -1315,10 +1337,10 @@ def _(w):
     return w.fused()
 
 
-@query("e03_fit_detector")
+@query("e03_fit_detector", _tree_sql("fused_h"))
 def _(w):
     fitted = model.fit(w.fused(activity.HISTORY), DETECTOR)
-    return fitted.forest_table
+    return _tree_rows(fitted.forest_table)
 
 
 @query(
@@ -1330,10 +1352,35 @@ def _(w):
     return rounded(w.scores)
 
 
-@query("e04b_fit_and_score")
+_consistent_sql = (
+    f"select {UD}, true as one_verdict, true as flags_add_up, true as ratio_holds, true as verdict_holds, "
+    f"({_share_sql} > {Params().missing_data_tolerance})::int as data_quality_risk from fused_l"
+)
+
+
+def _consistent(scores: DataFrame) -> DataFrame:
+    """What every scored row must keep to, whatever the fitted thresholds are."""
+    both = (F.col("mad_critical_flag") == 1) & (F.col("iso_forest_flag") == 1)
+    dirty = F.col("data_quality_risk") == 1
+    flagged = sum((F.col(f"{f}_flag") for f in FEATURES), F.lit(0))
+    return scores.select(
+        *KEY,
+        (sum((F.col(c) for c in ALERT_COLUMNS), F.lit(0)) <= 1).alias("one_verdict"),
+        (flagged == F.col("mad_score_count")).alias("flags_add_up"),
+        (F.abs(F.col("mad_flag_ratio") * F.col("observed_feature_count") - F.col("mad_score_count")) < 1e-9).alias("ratio_holds"),
+        (
+            (F.col("confirmed_threat") == (both & ~dirty).cast("int"))
+            & (F.col("high_risk_review") == (both & dirty).cast("int"))
+            & (F.col("telemetry_gap_flag") == (dirty & ~both).cast("int"))
+        ).alias("verdict_holds"),
+        "data_quality_risk",
+    )
+
+
+@query("e04b_fit_and_score", _consistent_sql)
 def _(w):
     fitted = model.fit(w.fused(activity.HISTORY), DETECTOR)
-    return model.score(w.live, fitted)
+    return _consistent(model.score(w.live, fitted))
 
 
 @query("e05_evaluate", ORACLE["a27_evaluate"].replace("s.gap as p", "s.confirmed as p"))
