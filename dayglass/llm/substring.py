@@ -5,11 +5,12 @@ only, so equal windows share an anchor. Texts are read once for their anchors; a
 that occur once end there. The rest get a route: windows of anchors first seen in one
 document travel together; where those are too many, anchors part, and where one anchor
 alone is too frequent, its windows part by their own hash. Equal windows always have the
-same route. Each text sends the runs of windows of one route as a segment, equal segments
-are reduced to their first one, and a task builds an FM-index (fm_index) of the segments
-of its shard and streams them through it again: backward search gives the matching
-statistics, and a window with a match of full length is removed unless it is the first
-of its matches.
+same route. Each text cuts the runs of windows of one route into segments. An FM-index (fm_index) of
+segments, through which they are streamed again, gives their matching statistics by
+backward search: a window with a match of full length goes unless it is the first of its
+matches. The task that cuts the segments judges them so among themselves first and sends
+only what stays, equal segments are reduced to their first one, and the task of a shard
+judges what all tasks have sent for its routes.
 """
 
 from __future__ import annotations
@@ -38,11 +39,13 @@ _LAST = 2**63 - 1
 @dataclass(frozen=True)
 class Passages:
     """`window` words make a passage; anchors are runs of `run` words; a shard gets the
-    segments of about `shard_anchors` anchors."""
+    segments of about `shard_anchors` anchors, a cutting task judges about `batch_words`
+    words at a time."""
 
     window: int = 20
     run: int = 8
     shard_anchors: int = 20_000
+    batch_words: int = 200_000
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -71,21 +74,36 @@ def _sha(words: list[str]) -> str:
 
 
 def scan(docs: DataFrame, p: Passages) -> DataFrame:
-    """node, doc_id, text_no, n_words, whole_sha256, anchors of every row, in one pass."""
+    """node, doc_id, text_no, n_words, whole_sha256, anchors of every row, in one pass.
+
+    `anchors` holds each anchor of the text once, with the times it occurs there.
+    """
     names = ["node", "doc_id", "text_no", "n_words", "whole_sha256", "anchors"]
+    pair = pa.struct([("anchor", pa.int64()), ("times", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = [split_words(t) for t in texts(part.column(3))]
-            anchors = [window_anchors(word_hashes(w), p)[1].view("i8") if len(w) >= p.window else np.zeros(0, "i8") for w in words]
+            found = [np.unique(window_anchors(word_hashes(w), p)[1], return_counts=True) for w in words]
+            flat = pa.StructArray.from_arrays(
+                [
+                    pa.array(np.concatenate([a for a, _ in found]).view("i8")),
+                    pa.array(np.concatenate([n for _, n in found]).astype("i4")),
+                ],
+                fields=list(pair),
+            )
+            ends = np.cumsum([0, *(len(a) for a, _ in found)]).astype("i4")
             columns = [
                 pa.array(list(map(len, words)), pa.int64()),
                 pa.array(list(map(_sha, words)), pa.string()),
-                pa.array(anchors, pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array(ends), flat),
             ]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *columns], names)
 
-    schema = "node bigint, doc_id bigint, text_no binary, n_words bigint, whole_sha256 string, anchors array<bigint>"
+    schema = (
+        "node bigint, doc_id bigint, text_no binary, n_words bigint, whole_sha256 string,"
+        " anchors array<struct<anchor: bigint, times: int>>"
+    )
     return _named(docs).mapInArrow(run, schema)
 
 
@@ -133,33 +151,55 @@ def _segments(words: list[str], wanted: dict[int, tuple[int, int]], p: Passages)
 def segments(docs: DataFrame, wanted: DataFrame, shards: int, p: Passages) -> DataFrame:
     """shard, node, text_no, start, n, segment_no, segment of texts with repeated anchors.
 
-    `wanted`: node, anchors (array of anchor, route, parts).
+    `wanted`: node, anchors (array of anchor, route, parts). Rows without a segment are
+    windows that an earlier one of the same batch of texts equals.
     """
     names = ["shard", "node", "text_no", "start", "n", "segment_no", "segment"]
     types = [pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, held = [], 0
         for part in slices(batches, 128):
-            out = []
             for node, text_no, text, anchors in zip(*(part.column(c).to_pylist() for c in range(4))):
                 words = split_words(text)
                 for route, start, n in _segments(words, {a["anchor"]: (a["route"], a["parts"]) for a in anchors}, p):
-                    segment = " ".join(words[start : start + n + p.window - 1])
-                    number = hashlib.blake2b(segment.encode("utf-8", "surrogatepass"), digest_size=16, key=route.to_bytes(8, "big", signed=True)).digest()
-                    out.append((route % shards, node, text_no, start, n, number, segment))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                    cut.append((node, text_no, start, route, words[start : start + n + p.window - 1]))
+                    held += n + p.window - 1
+            if held >= p.batch_words:
+                yield from remaining(cut)
+                cut, held = [], 0
+        yield from remaining(cut)
+
+    def remaining(cut: list[tuple]) -> Iterator[pa.RecordBatch]:
+        cut.sort(key=lambda c: c[:3])
+        out: list[tuple] = []
+        for (node, text_no, start, route, words), late in zip(cut, repeated_windows([c[4] for c in cut], p)):
+            gone = np.zeros(len(words) - p.window + 1, bool)
+            gone[late] = True
+            edges = np.flatnonzero(np.r_[True, gone[1:] != gone[:-1], True]).tolist()
+            for a, b in zip(edges, edges[1:]):
+                number = segment = shard = None
+                if not gone[a]:
+                    segment = " ".join(words[a : b + p.window - 1])
+                    key = route.to_bytes(8, "big", signed=True)
+                    number = hashlib.blake2b(segment.encode("utf-8", "surrogatepass"), digest_size=16, key=key).digest()
+                    shard = route % shards
+                out.append((shard, node, text_no, start + a, b - a, number, segment))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     schema = "shard int, node bigint, text_no binary, start int, n int, segment_no binary, segment string"
     named = _named(docs).select("node", "text_no", "text").join(wanted, "node")
     return named.mapInArrow(run, schema)
 
 
-def repeated_windows(parts: list[str], p: Passages) -> list[np.ndarray]:
-    """For each segment, in order of first appearance, the windows that an earlier window
-    of any of the segments equals."""
+def repeated_windows(parts: list[list[str]], p: Passages) -> list[np.ndarray]:
+    """For each segment (its words), in order of first appearance, the windows that an
+    earlier window of any of the segments equals."""
+    if not parts:
+        return []
     known: dict[str, int] = {}
-    split = [[known.setdefault(w, len(known) + 1) for w in s.split(" ")] for s in parts]
+    split = [[known.setdefault(w, len(known) + 1) for w in s] for s in parts]
     lengths = np.array([len(s) for s in split])
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
     sequence = np.zeros(int(lengths.sum() + len(split)), "i8")  # a 0 after each segment
@@ -184,7 +224,7 @@ def judge_shards(parts: DataFrame, p: Passages) -> DataFrame:
 
     def judge(group: pa.Table) -> pa.Table:
         group = group.sort_by([("node", "ascending"), ("text_no", "ascending"), ("start", "ascending")])
-        found = repeated_windows(group["segment"].to_pylist(), p)
+        found = repeated_windows([s.split(" ") for s in group["segment"].to_pylist()], p)
         node, text_no, start = (group[c].to_pylist() for c in ("node", "text_no", "start"))
         out = []
         for k, late in enumerate(found):
@@ -215,23 +255,24 @@ def find_repeats(docs: DataFrame, p: Passages = Passages()) -> Repeats:
     rows = stored(scan(docs, p), "anchors")
     first = stored(rows.groupBy("text_no").agg(F.min("node").alias("first")), "first")
     originals = rows.where(F.size("anchors") > 0).join(first, "text_no").where("node = first")
-    seen = originals.dropDuplicates(["node", "text_no"]).select("node", F.explode("anchors").alias("anchor"))
-    several = seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    repeated = stored(seen.join(several, "anchor"), "repeated")
+    seen = originals.dropDuplicates(["node", "text_no"]).select("node", F.inline("anchors"))
+    several = seen.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    repeated = stored(seen.join(several, "anchor").select("node", "anchor"), "repeated")
     shards = max(1, math.ceil(repeated.count() / p.shard_anchors))
     wanted = (
-        repeated.distinct()
-        .join(routes(repeated, p), "anchor")
+        repeated.join(routes(repeated, p), "anchor")
         .groupBy("node")
         .agg(F.collect_list(F.struct("anchor", "route", "parts")).alias("anchors"))
     )
     sent = stored(segments(docs, wanted, shards, p), "segments")
     # of equal segments all but the first are covered by it; copies of whole texts are not asked
     place = F.struct("node", "text_no", "start")
+    within = sent.where("segment is null")
+    sent = sent.where("segment is not null")
     earliest = sent.groupBy("segment_no").agg(F.min(place).alias("earliest"))
     marked = sent.join(earliest, "segment_no").withColumn("own", place == F.col("earliest"))
     judged = judge_shards(marked.where("own").dropDuplicates(["segment_no"]), p)
-    whole = marked.where(~F.col("own")).select("node", "text_no", F.col("start").alias("from"), (F.col("start") + F.col("n") + p.window - 1).alias("to"))
+    whole = marked.where(~F.col("own")).select(*within.columns).unionByName(within).select("node", "text_no", F.col("start").alias("from"), (F.col("start") + F.col("n") + p.window - 1).alias("to"))
     cuts = judged.unionByName(whole).groupBy("node", "text_no").agg(F.collect_list(F.struct("from", "to")).alias("cuts"))
     return Repeats(rows, first, stored(cuts, "cuts"))
 
