@@ -26,7 +26,7 @@ from dayglass.contract import (
     Params,
 )
 from dayglass.functions import robust
-from dayglass.operators import attribution, baseline, diagnostics, flags, fusion, gates, report
+from dayglass.operators import attribution, baseline, diagnostics, feeds, flags, fusion, gates, report, roles
 from dayglass.operators import features as X
 from dayglass.operators import forest as IF
 from dayglass.operators.quantiles import quantiles
@@ -1420,3 +1420,51 @@ def _(w):
         w.logs, activity.HISTORY, activity.LIVE, DETECTOR, activity.KEYWORDS
     )
     return result["report"]
+
+
+# --- beyond the surveyed queries ----------------------------------------------------
+
+
+@query(
+    "x01_feed_hits",
+    f"""select {UD}, count(*) as feed_visits, count(distinct host) as feed_hosts from (
+        select usr, cast(ts as date) as d, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) as host
+        from http_log where usr <> 'SYSTEM') v
+    where host in (select lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) from pages where page_id % 10 = 0)
+      and host <> '' group by usr, d""",
+)
+def _(w):
+    feed = w.table("pages").where("page_id % 10 = 0").select(feeds.host(F.col("url")).alias("host"))
+    return feeds.feed_hits(w.logs["http"], feed)
+
+
+_roles_sql = "(select 'U' || lpad(cast(c_custkey as varchar), 5, '0') as usr, c_mktsegment as role from customer)"
+
+
+def _roles(w: World) -> DataFrame:
+    user = F.concat(F.lit("U"), F.lpad(F.col("c_custkey").cast("string"), 5, "0"))
+    return w.table("customer").select(user.alias("user"), F.col("c_mktsegment").alias("role"))
+
+
+@query(
+    "x02_role_baseline",
+    " union all ".join(
+        f"select role, '{f}' as feature, round(quantile_cont({f}, 0.5), 6) as median, "
+        f"round(mad({f}) / 0.6744897501960817::double, 6) as mad, round(quantile_cont({f}, 0.95), 6) as p95 "
+        f"from fused_h join {_roles_sql} r using (usr) group by role having count({f}) > 0"
+        for f in FEATURES
+    ),
+)
+def _(w):
+    return rounded(roles.role_baseline(w.history, _roles(w), w.params))
+
+
+@query(
+    "x02b_role_route",
+    f"""select x.usr as "user", x.d as activity_date, r.role, case when u.usr is not null then 'personal'
+        when r.role in (select role from fused_h join {_roles_sql} using (usr)) then 'role' else 'global_cold_start' end as baseline_source
+    from fused_l x left join {_roles_sql} r using (usr) left join ubase u using (usr)""",
+)
+def _(w):
+    stats = roles.role_baseline(w.history, _roles(w), w.params)
+    return roles.baseline_route(w.live, w.baseline, _roles(w), stats)
