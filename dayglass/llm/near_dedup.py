@@ -8,8 +8,9 @@ their probability Jaccard similarity. Bands of registers give buckets.
 
 Equal texts are one from the start. In a bucket, members are compared with a leader, not
 with each other; texts that are connected already need no further comparison. Buckets
-whose members are in several components get another leader a few times; in the end every
-remaining pair of different components in a bucket is compared, so no link between two
+whose members are in several components can get further leaders; in the end the
+remaining pairs of different components in a bucket are compared, but for those whose
+similarity has a bound below the threshold (see `remaining_pairs`). So no link between two
 texts of one bucket that could join components is left out. Pairs are verified exactly,
 on all shingles.
 """
@@ -37,7 +38,8 @@ class Matching:
     similarity: float = 0.8
     bands: int = 36
     rows: int = 8
-    leaders: int = 3
+    leaders: int = 1  # rounds of leaders before the remaining pairs
+    rare: int = 3  # texts that share a rare shingle, at most
 
 
 def shingles(text: str, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,6 +160,68 @@ def verified(pairs: DataFrame, table: DataFrame, m: Matching) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", similarity.alias("similarity"))
 
 
+def _elements(table: DataFrame) -> DataFrame:
+    """node, element, count: the rows of a shingle table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 64):
+            rows = [
+                (node, np.frombuffer(e, "<i8"), np.frombuffer(c, "<i4"))
+                for node, e, c in zip(*(part.column(k).to_pylist() for k in ("node", "elements", "counts")))
+            ]
+            nodes = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
+            columns = [pa.array(nodes, pa.int64()), *(pa.array(np.concatenate([r[k] for r in rows])) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "element", "count"])
+
+    return table.mapInArrow(run, "node bigint, element bigint, count int")
+
+
+def remaining_pairs(labelled: DataFrame, table: DataFrame, m: Matching) -> DataFrame:
+    """Pairs (a, b) of different components of a bucket that may be similar enough.
+
+    `labelled`: bucket, node, component. Two texts that share a shingle which few others
+    hold are a pair. Any other two share common shingles only; if those are the shares h
+    and k of their weights, the similarity is at most hk / (h + k - hk), and for texts
+    without repeated shingles, with c and d common ones of n and o, at most
+    min(c, d) / (n + o - min(c, d)). A bucket's largest component is not paired with itself.
+    """
+    nodes = labelled.select("node", "component").distinct()
+    elements = stored(_elements(table.join(nodes.select("node"), "node", "left_semi")), "elements")
+    few = elements.groupBy("element").agg(F.count("*").alias("holders")).where(F.col("holders") <= m.rare)
+    rare = stored(elements.join(few, "element"), "rare")
+    uncommon = rare.groupBy("node").agg(F.sum("count").alias("uncommon"))
+    weights = (
+        elements.groupBy("node")
+        .agg(F.sum("count").alias("n"), (F.max("count") == 1).alias("flat"))
+        .join(uncommon, "node", "left")
+        .select("node", "n", "flat", (F.col("n") - F.coalesce("uncommon", F.lit(0))).alias("c"))
+    )
+    members = stored(labelled.select("bucket", "node", "component").join(weights, "node"), "weighed")
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+    rest = members.join(main, "bucket").where("component <> main").drop("main")
+    rest = rest.select(F.col("bucket").alias("in_"), *(F.col(c).alias(f"{c}_") for c in rest.columns if c != "bucket"))
+    c = F.least("c", "c_")
+    h, k = F.col("c") / F.col("n"), F.col("c_") / F.col("n_")
+    bound = F.when(F.col("flat") & F.col("flat_"), c / (F.col("n") + F.col("n_") - c)).otherwise(
+        F.when(F.least(h, k) <= 0, 0.0).otherwise(h * k / (h + k - h * k))
+    )
+    near = (F.col("bucket") == F.col("in_")) & (F.col("component") != F.col("component_")) & (bound >= m.similarity - 1e-9)
+    pairs = members.join(rest, near).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
+    holders = F.array_sort(F.collect_list(F.struct("node", "component")))  # at most m.rare
+    shared = (
+        rare.where("holders > 1")
+        .join(nodes, "node")
+        .groupBy("element")
+        .agg(holders.alias("x"))
+        .select("x", F.explode("x").alias("one"))
+        .select("one", F.explode("x").alias("two"))
+        .where("one.node < two.node and one.component <> two.component")
+        .select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
+    )
+    return pairs.union(shared).distinct()
+
+
 def near_duplicates(docs: DataFrame, m: Matching = Matching()) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), n_equal (rows with its text).
 
@@ -171,8 +235,11 @@ def near_duplicates(docs: DataFrame, m: Matching = Matching()) -> DataFrame:
     # of rows that share an id, each text keeps its buckets
     own = rows.join(distinct.select("text_key", "node"), "text_key").where("doc_id = node")
     banded = own.select("node", F.explode("bands").alias("bucket")).distinct()
-    several = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    several = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(banded.join(several, "bucket"), "members")
+    # texts that meet the most others lead: they are in the middle of their group
+    meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
+    members = stored(members.drop("n").join(meets, "node"), "members")
     table = stored(shingle_table(docs, members.select("node").distinct(), m), "shingles")
 
     compared, labels = None, None
@@ -191,16 +258,13 @@ def near_duplicates(docs: DataFrame, m: Matching = Matching()) -> DataFrame:
         if labels is not None and labelled.isEmpty():
             break
         if turn < m.leaders:
-            rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            leader = labelled.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), rank).alias("leader"))
-            pairs = labelled.join(leader, "bucket").select("node", "component", F.col("leader.node").alias("other"), F.col("leader.component").alias("side"))
+            rank = F.struct("meets", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+            leader = labelled.groupBy("bucket").agg(F.max_by(F.struct("node", "component"), rank).alias("leader"))
+            met = labelled.join(leader, "bucket").where("component <> leader.component")
+            other = F.col("leader.node")
+            pairs = met.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
         else:
-            sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-            rest = labelled.join(main, "bucket").where("component <> main")
-            rest = rest.select("bucket", F.col("node").alias("other"), F.col("component").alias("side"))
-            pairs = labelled.join(rest, "bucket").select("node", "component", "other", "side")
-        pairs = pairs.where("component <> side").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            pairs = remaining_pairs(labelled, table, m)
         if compared is not None:
             pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
         found = stored(verified(pairs, table, m), "compared")

@@ -14,6 +14,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from dayglass.llm.words import forget
+
 #: Chunks and words a worker remembers; further ones are encoded each time.
 CHUNKS, WORDS = 500_000, 700_000
 
@@ -24,6 +26,7 @@ _encoders: dict[str, "WordEncoder"] = {}
 
 def encoder(path: str) -> "WordEncoder":
     if path not in _encoders:
+        forget()  # a worker that goes over to token ids needs no word hashes
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 

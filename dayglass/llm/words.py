@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash a worker remembers.
-WORDS = 1_000_000
+WORDS = 500_000
 
 _known: dict[str, int] = {}
 
@@ -23,6 +23,11 @@ def word_hashes(words: list[str]) -> np.ndarray:
         return np.fromiter(map(_known.__getitem__, words), "u8", len(words))
 
 
+def forget() -> None:
+    """Give the memory of the remembered words back."""
+    _known.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     x = x ^ (x >> np.uint64(31))
