@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from dayglass.llm.common import shared_path, stored
 
-#: Bytes of a file that one task scans, and of a record head that is looked at.
+#: Bytes of a file that one task scans, and of a record head that are read at a time.
 RANGE, HEAD = 4 << 20, 1 << 16
 
 MAGIC = b"WARC/1."
@@ -115,6 +115,8 @@ _CANDIDATE = pa.schema(
     ]
 )
 
+_version = regex.compile(rb"WARC/1\.\d*\r\n").match
+_stop = regex.compile(rb"\r\n\r\n|\r\nWARC/1\.").search
 _length = regex.compile(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n").search
 _field = regex.compile(r"(?i)\r\n(warc-[a-z-]+):[ \t]*([^\r\n]*)").findall
 _page = regex.compile(r"<urn:page:(-?\d+)>").fullmatch
@@ -127,9 +129,26 @@ def _open(path: str):
     return system.open_input_file(inner)
 
 
+def _head(file, size: int, start: int, head: bytes) -> tuple[bytes, int]:
+    """The record head at `start` and its end, read on in blocks however long it is; -1
+    where the file ends first, or a line that opens another head comes first."""
+    if not _version(head):
+        return head, -1
+    head, at = bytearray(head), 0
+    while True:
+        stop = _stop(head, at)
+        if stop:
+            return bytes(head), stop.start() if stop[0] == b"\r\n\r\n" else -1
+        at = max(0, len(head) - len(b"\r\n" + MAGIC))
+        more = file.read_at(min(HEAD, size - start - len(head)), start + len(head)) if size > start + len(head) else b""
+        if not more:
+            return bytes(head), -1
+        head += more
+
+
 def _record(file, size: int, start: int, head: bytes) -> dict | None:
     """What a candidate at `start` says, or None if no head parses there."""
-    end = head.find(b"\r\n\r\n")
+    head, end = _head(file, size, start, head)
     found = _length(head[: end + 2]) if end >= 0 else None
     if not found:
         return None
@@ -162,14 +181,17 @@ def _record(file, size: int, start: int, head: bytes) -> dict | None:
     return out
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+
+
 def candidates(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
     """Every place in the files under `path` that parses as a record head.
 
     A head that claims more than its file holds is none. Payload columns stay null where
     the block isn't followed by a terminator and a further head or the file's end.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
-    ranges = files.select(
+    ranges = _files(spark, path).select(
         "path", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(range_bytes))).alias("from")
     ).repartition("path", "from")
 
@@ -217,8 +239,16 @@ def reachable(found: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the archives under `path`, with the digest of the bytes read."""
-    return reachable(candidates(spark, path))
+    """The records of the archives under `path`, with the digest of the bytes read.
+
+    Raises ValueError if the records of a file do not end where the file does.
+    """
+    records = stored(reachable(candidates(spark, path)), "records")
+    ends = records.groupBy("path").agg(F.max("next").alias("end"))
+    broken = _files(spark, path).join(ends, "path", "left").where(~F.col("length").eqNullSafe(F.col("end"))).first()
+    if broken:
+        raise ValueError(f"{broken['path']}: the records end at byte {broken['end'] or 0} of {broken['length']}")
+    return records
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

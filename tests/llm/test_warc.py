@@ -1,5 +1,6 @@
 import base64
 import hashlib
+from pathlib import Path
 
 import pytest
 
@@ -51,3 +52,25 @@ def test_whole_operator_and_empty_table(spark):
     got = [((r[0] or -1), *r[1:]) for r in map(tuple, warc.round_trip(pages).collect())]
     assert sorted(got, key=repr) == expected(0)
     assert warc.round_trip(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("range_bytes", [1 << 22, 50_000])
+def test_heads_of_any_length(spark, range_bytes):
+    sizes = {1: 70_000, 2: 10, 3: 65_536, 4: 300_000, 5: 20, 6: 65_300}
+    rows = [(k, f"data:{k},WARC/1.0 " + "u" * n, f"<p>{k}</p>") for k, n in sizes.items()]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    path = shared_path(spark, "test-long-heads")
+    warc.write_archives(pages.coalesce(1), path)
+    got = warc.reachable(warc.candidates(spark, path, range_bytes)).collect()
+    assert sorted(r.page_id for r in got) == sorted(sizes)
+    assert sorted(r.page_id for r in warc.round_trip(pages).collect()) == sorted(sizes)
+
+
+@pytest.mark.parametrize("cut", [1, 40, 150])
+def test_broken_chain_is_an_error(spark, tmp_path, cut):
+    path = shared_path(spark, "test-broken")
+    warc.write_archives(spark.createDataFrame(PAGES[:1], "page_id bigint, url string, html string").coalesce(1), path)
+    whole = b"".join(p.read_bytes() for p in Path(path).glob("part-*"))
+    (tmp_path / "one.warc").write_bytes(whole + whole[:-cut])
+    with pytest.raises(ValueError, match="one.warc"):
+        warc.read_archives(spark, str(tmp_path))
