@@ -5,8 +5,12 @@ word with the text's border, each with its count. For every sample and term ther
 fixed r, c ~ Gamma(2, 1) and b ~ U(0, 1); a term of weight S takes part with
 t = floor(ln S / r + b) and ln a = ln c - r (t - b) - r, and the term of least a is the
 sample. Two texts share a sample with a probability of their generalised Jaccard
-similarity. Terms are hashed to `2**bits` places, for which the draws are tables that
-every worker derives from the seed.
+similarity.
+
+The draws are functions of the term's 64-bit hash and the sample's number, so no two terms
+share any. They come from three independent exponential draws x, y, z as c = x + y,
+r (1 - b) = ln(c / x) and r b = z, which are distributed as above; then a = x exp(-r t).
+A term of weight 1 has t = 0 and needs x alone, which grows with its hash.
 """
 
 from __future__ import annotations
@@ -24,78 +28,81 @@ from pyspark.sql import functions as F
 from dayglass.llm.common import shuffle_tasks, slices, texts
 from dayglass.llm.words import mix, run_hashes, word_hashes
 
-#: Texts that are turned into samples at a time, and terms whose draws are held at a time.
-TEXTS, TERMS = 128, 60_000
+#: Texts that are turned into samples at a time, and draws (terms x samples) that are held at a time.
+TEXTS, DRAWS = 128, 1 << 17
 
 
 @dataclass(frozen=True)
 class Sampling:
     samples: int = 64
-    bits: int = 17
+    bits: int = 17  # without effect: terms are not folded
     seed: int = 20240229
 
 
-_tables: dict[Sampling, tuple[np.ndarray, ...]] = {}
+_BORDER = np.array([0x5851F42D4C957F2D], "u8")
 
 
-def _draws(s: Sampling) -> tuple[np.ndarray, ...]:
-    """r, b, ln c by place and sample, and ln a at weight 1."""
-    if s not in _tables:
-        rng = np.random.Generator(np.random.PCG64(s.seed))
-        shape = (1 << s.bits, s.samples)
+def _keys(s: Sampling) -> np.ndarray:
+    """A key for each of the draws x, y and z of each sample."""
+    return mix(mix(np.arange(1, 3 * s.samples + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(s.seed)).reshape(3, -1)
 
-        def exponential():
-            return -np.log1p(-rng.random(shape, "f4"))
 
-        r = exponential() + exponential()
-        ln_c = np.log(exponential() + exponential())
-        b = rng.random(shape, "f4")
-        _tables[s] = (r, b, ln_c, ln_c - r * (0 - b) - r)
-    return _tables[s]
+def _hashes(term: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Hash of each key (row) and term (column)."""
+    out = key[:, None] ^ term[None, :]
+    out *= np.uint64(0x9FB21C651E98DF25)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out
 
 
-_BORDER = np.array([0x5851F42D4C957F2D], "u8")
+def _exponential(hashes: np.ndarray) -> np.ndarray:
+    return -np.log1p(-((hashes >> np.uint64(11)).astype("f8") + 0.5) * 2.0**-53)
 
 
-def _places(batch: list[str], s: Sampling) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the text and place of each term."""
-    own, place = [], []
+def _terms(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, hash and weight of each of its distinct terms."""
+    own, term, weight = [np.zeros(0, "i8")], [np.zeros(0, "u8")], [np.zeros(0, "i8")]
     for i, text in enumerate(batch):
         words = text.split()
         if words:
-            found = run_hashes(np.concatenate([_BORDER, word_hashes(words), _BORDER]), 2)
-            place.append(found)
+            found, n = np.unique(run_hashes(np.concatenate([_BORDER, word_hashes(words), _BORDER]), 2), return_counts=True)
             own.append(np.full(len(found), i))
-    if not own:
-        return np.zeros(0, "i8"), np.zeros(0, "i8")
-    return np.concatenate(own), (mix(np.concatenate(place)) >> np.uint64(64 - s.bits)).astype("i8")
+            term.append(found)
+            weight.append(n)
+    return np.concatenate(own), np.concatenate(term), np.concatenate(weight)
+
+
+def _lower(least: np.ndarray, own: np.ndarray, values: np.ndarray) -> None:
+    """Bring `least` (sample, text) down to the values (sample, term) of each text's terms."""
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    least[:, own[first]] = np.minimum(least[:, own[first]], np.minimum.reduceat(values, first, axis=1))
 
 
 def signatures(batch: list[str], s: Sampling = Sampling()) -> np.ndarray:
     """16 bits of each sample of each text; a text without words has zeros."""
-    r, b, ln_c, ln_a1 = _draws(s)
+    keys, block = _keys(s), max(1, DRAWS // s.samples)
     out = np.zeros((len(batch), s.samples), "u2")
     for start in range(0, len(batch), TEXTS):
-        own, place = _places(batch[start : start + TEXTS], s)
-        if not len(own):
-            continue
-        key, weight = np.unique(own << s.bits | place, return_counts=True)
-        own, place = key >> s.bits, key & ((1 << s.bits) - 1)
-        least = np.full((min(TEXTS, len(batch) - start), s.samples), np.inf, "f4")
-        for at in range(0, len(key), TERMS):
-            p, w, o = place[at : at + TERMS], weight[at : at + TERMS], own[at : at + TERMS]
-            ln_a = ln_a1[p]
-            many = np.flatnonzero(w > 1)
-            if len(many):
-                q = p[many]
-                t = np.floor(np.log(w[many].astype("f4"))[:, None] / r[q] + b[q])
-                ln_a[many] = ln_c[q] - r[q] * (t - b[q]) - r[q]
-            first = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-            found = np.minimum.reduceat(ln_a, first, axis=0)
-            least[o[first]] = np.minimum(least[o[first]], found)
-        bits = least.view("u4")
-        hashed = ((bits ^ (bits >> 15)) * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
-        out[start : start + TEXTS] = np.where(np.isinf(least), 0, hashed | 1)
+        own, term, weight = _terms(batch[start : start + TEXTS])
+        number = min(TEXTS, len(batch) - start)
+        least = np.full((s.samples, number), np.inf)
+        lowest = np.full((s.samples, number), np.iinfo("u8").max, "u8")
+        once = weight == 1
+        for at in range(0, int(once.sum()), block):
+            if at == 0:
+                own1, term1 = own[once], term[once]
+            _lower(lowest, own1[at : at + block], _hashes(term1[at : at + block], keys[0]))
+        with_one = np.isin(np.arange(number), own[once])
+        least[:, with_one] = _exponential(lowest[:, with_one])
+        own, term, weight = own[~once], term[~once], np.log(weight[~once])
+        for at in range(0, len(term), block):
+            x, y, z = (_exponential(_hashes(term[at : at + block], k)) for k in keys)
+            r = np.log1p(y / x) + z
+            t = np.floor((weight[at : at + block] + z) / r)
+            _lower(least, own[at : at + block], x * np.exp(-r * t))
+        hashed = mix(least.T.copy().view("u8")) >> np.uint64(48)
+        out[start : start + TEXTS] = np.where(np.isinf(least.T), 0, hashed | np.uint64(1))
     return out
 
 

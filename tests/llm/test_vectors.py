@@ -90,3 +90,19 @@ def test_edits_of_edge_rows(edge, empty):
     assert edited_fingerprints(empty).count() == fingerprints(empty).count() == 0
     single = edge.where("doc_id = 1")
     assert edited_fingerprints(single).count() == fingerprints(single).count() == 1
+
+
+def test_long_unrelated_texts_are_unlike():
+    a, b = (" ".join(f"{side}{k}" for k in range(100_000)) for side in "ab")
+    found = signatures([a, b])
+    assert likeness(found[:1], found[1:])[0] <= 0.02
+
+
+def test_collision_rate_of_long_weighted_texts():
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in rng.zipf(1.3, 30_000) % 5000]
+    a, b = " ".join(base), " ".join(base[:20_000] + [f"v{k}" for k in range(15_000)])
+    x, y = bags(a), bags(b)
+    want = sum(min(x.get(k, 0), y.get(k, 0)) for k in x | y) / sum(max(x.get(k, 0), y.get(k, 0)) for k in x | y)
+    found = signatures([a, b], Sampling(samples=2048))
+    assert abs(likeness(found[:1], found[1:])[0] - want) < 0.04
