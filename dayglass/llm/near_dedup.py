@@ -129,7 +129,7 @@ def sketches(docs: DataFrame, m: Matching) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame, m: Matching) -> DataFrame:
-    """node, elements, counts (flat little-endian arrays) of the documents in `ids` (node)."""
+    """node, elements, counts (flat little-endian arrays) of the texts in `ids` (doc_id, text_key, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -140,7 +140,8 @@ def shingle_table(docs: DataFrame, ids: DataFrame, m: Matching) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["node", "elements", "counts"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(ids, "node", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_key(F.col("text")).alias("text_key"), "text")
+    rows = rows.join(ids, ["doc_id", "text_key"]).select("node", "text")
     return rows.mapInArrow(run, "node bigint, elements binary, counts binary").dropDuplicates(["node"])
 
 
@@ -222,25 +223,24 @@ def remaining_pairs(labelled: DataFrame, table: DataFrame, m: Matching) -> DataF
     return pairs.union(shared).distinct()
 
 
-def near_duplicates(docs: DataFrame, m: Matching = Matching()) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), n_equal (rows with its text).
+def _classes(docs: DataFrame, m: Matching) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_key), and of each distinct text its text_key, n_equal, and
+    the smallest doc_id and text_key of its class (class_id, class_key).
 
-    Classes are the connected components of texts of similarity m.similarity or more. A
-    null text is empty; texts without words are alike only if equal; a row without doc_id
-    joins the class of its text, or none (null) if no row with that text has an id.
+    Nodes are numbers of the distinct texts in the order of (smallest doc_id, text_key).
     """
     rows = stored(sketches(docs, m), "sketches")
-    distinct = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_equal"))
-    distinct = stored(distinct, "distinct")
-    # of rows that share an id, each text keeps its buckets
-    own = rows.join(distinct.select("text_key", "node"), "text_key").where("doc_id = node")
+    distinct = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal"))
+    distinct = stored(distinct.orderBy("doc_id", "text_key").withColumn("node", F.monotonically_increasing_id()), "distinct")
+    named = distinct.where("doc_id is not null").select("doc_id", "text_key", "node")
+    own = rows.join(named, ["doc_id", "text_key"])
     banded = own.select("node", F.explode("bands").alias("bucket")).distinct()
     several = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(banded.join(several, "bucket"), "members")
     # texts that meet the most others lead: they are in the middle of their group
     meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
     members = stored(members.drop("n").join(meets, "node"), "members")
-    table = stored(shingle_table(docs, members.select("node").distinct(), m), "shingles")
+    table = stored(shingle_table(docs, named.join(members.select("node").distinct(), "node", "left_semi"), m), "shingles")
 
     compared, labels = None, None
     for turn in range(m.leaders + 1):
@@ -270,15 +270,46 @@ def near_duplicates(docs: DataFrame, m: Matching = Matching()) -> DataFrame:
         found = stored(verified(pairs, table, m), "compared")
         compared = found if compared is None else compared.unionByName(found)
         labels = components(compared.where(F.col("similarity") >= m.similarity).select("a", "b"))
-    classes = distinct.join(labels, "node", "left").select("text_key", F.coalesce("component", "node").alias("class_id"), "n_equal")
-    return rows.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "class_id", "n_equal")
+    first = named.select(F.col("node").alias("component"), F.col("doc_id").alias("class_id"), F.col("text_key").alias("class_key"))
+    classed = labels.join(first, "component").drop("component")
+    classes = distinct.join(classed, "node", "left").select(
+        "text_key", "n_equal", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_key", "text_key").alias("class_key")
+    )
+    return rows.select("doc_id", "text_key"), classes
+
+
+def near_duplicates(docs: DataFrame, m: Matching = Matching()) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class), class_key, n_equal (rows with its text).
+
+    Classes are the connected components of texts of similarity m.similarity or more. A
+    null text is empty; texts without words are alike only if equal; a row without doc_id
+    joins the class of its text, or none (class_id null) if no row with that text has an id.
+    Unlike texts may share an id: class_key, the SHA-1 of the text of the smallest
+    (doc_id, SHA-1) of the class, tells their classes apart.
+    """
+    rows, classes = _classes(docs, m)
+    return rows.join(classes, "text_key").select("doc_id", "class_id", F.hex("class_key").alias("class_key"), "n_equal")
 
 
 def keep_one(docs: DataFrame, m: Matching = Matching()) -> DataFrame:
     """The document of each class that has the smallest id, all columns as they were.
 
-    A document without id belongs to no class and stays; of rows that share an id one stays.
+    Of a class's texts with that id the one of the smallest SHA-1 stays, and of rows with
+    the same id and text the one whose other columns come first as JSON. Unlike texts that
+    share an id are different classes, each of which keeps a row. A document without id
+    belongs to no class and stays.
     """
-    kept = near_duplicates(docs, m).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("bigint") == F.col("__kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    _, classes = _classes(docs, m)
+    kept = classes.where("text_key = class_key and class_id is not null").select(
+        F.col("class_id").alias("__id"), F.col("text_key").alias("__key")
+    )
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    tie = F.to_json(F.struct(*others)) if others else F.lit("")
+    named = docs.where("doc_id is not null").select(
+        F.col("doc_id").cast("bigint").alias("__id"), _text_key(F.col("text")).alias("__key"), F.struct(*columns).alias("__row"), tie.alias("__tie")
+    )
+    # null and empty texts have one key
+    order = F.struct("__tie", F.col("__row.text").isNull())
+    one = named.join(kept, ["__id", "__key"], "left_semi").groupBy("__id", "__key").agg(F.min_by("__row", order).alias("__row"))
+    return one.select("__row.*").unionByName(docs.where("doc_id is null"))

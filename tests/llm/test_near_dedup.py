@@ -93,3 +93,17 @@ def test_edge_rows(edge, empty):
     assert kept.columns == edge.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 1, 2, 4, 5, 7]
     assert near_dedup.near_duplicates(empty).count() == near_dedup.keep_one(empty).count() == 0
+
+
+def test_unlike_texts_of_one_id(spark):
+    rng = random.Random(7)
+    bases = [" ".join(f"w{rng.randrange(3000)}" for _ in range(200)) for _ in range(3)]
+    rows = [(7, t, "x") for t in bases] + [(8, bases[1] + " more", "x"), (3, bases[2] + " more", "x"), (7, bases[0], "a"), (7, "é", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    classes = {}
+    for r in near_dedup.near_duplicates(docs).collect():
+        classes.setdefault((r.class_id, r.class_key), []).append(r.doc_id)
+    assert sorted((k[0], sorted(ids)) for k, ids in classes.items()) == [(3, [3, 7]), (7, [7]), (7, [7, 7]), (7, [7, 8])]
+    want = sorted([(3, bases[2] + " more", "x"), (7, bases[0], "a"), (7, bases[1], "x"), (7, "é", "x")])
+    for some in (docs, docs.orderBy("source"), docs.repartition(3)):
+        assert sorted(map(tuple, near_dedup.keep_one(some).collect())) == want
