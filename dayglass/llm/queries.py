@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayglass.llm import ann, fingerprints, near_dedup, packing, quality, sentencepiece_codec, substring, token_counts, toxicity, warc
+from dayglass.llm import ann, fingerprints, jaccard_join, near_dedup, packing, quality, sentencepiece_codec, substring, token_counts, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -122,3 +122,35 @@ select t.doc_id, len(t.words)::bigint as n_words, coalesce(k.n_removed, 0) as n_
        sha256(coalesce(k.kept_text, '')) as kept_sha256
 from texts t left join kept k on t.doc_id = k.doc_id
 """
+
+
+@query
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of texts whose three-word shingles are alike by 0.9."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op11_jaccard_join"] = rf"""
+with recursive texts as (
+    select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents
+), shingles as (
+    select distinct r, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s
+    from texts
+), sizes as (
+    select r, count(*) as n from shingles group by r
+), common as (
+    select a.r as a, b.r as b, count(*) as k from shingles a join shingles b on a.s = b.s and a.r < b.r group by all
+), links as (
+    select a, b from common join sizes x on x.r = a join sizes y on y.r = b where 100 * k >= 90 * (x.n + y.n - k)
+), both_ways as (
+    select a, b from links union all select b, a from links
+), reach as (
+    select r, r as t from texts union select reach.r, both_ways.b from reach join both_ways on both_ways.a = reach.t
+)
+select x.doc_id, coalesce(n, 0) as n_shingles, component_id
+from texts x left join sizes using (r)
+join (select reach.r, min(y.doc_id) as component_id from reach join texts y on y.r = reach.t group by reach.r) using (r)
+"""
