@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayglass.llm import ann, fingerprints, jaccard_join, near_dedup, packing, quality, sentencepiece_codec, substring, token_counts, toxicity, warc
+from dayglass.llm import ann, conversations, fingerprints, jaccard_join, near_dedup, packing, quality, sentencepiece_codec, substring, token_counts, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -154,3 +154,9 @@ select x.doc_id, coalesce(n, 0) as n_shingles, component_id
 from texts x left join sizes using (r)
 join (select reach.r, min(y.doc_id) as component_id from reach join texts y on y.r = reach.t group by reach.r) using (r)
 """
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and the cheapest edits that mend it."""
+    return conversations.repair(table(spark, sf_dir, "conversations"))
