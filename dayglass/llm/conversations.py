@@ -14,8 +14,8 @@ task. One task per long conversation then walks over its chunks (the hash of the
 text is sequential by nature), in bounded memory but for the edits that it returns.
 
 Defined results: null role, text, turn and conv_id count as one space where they are read
-as text; turns are ordered nulls first; rows of one turn are ordered by (role, text) after
-damage, so repeated rows are adjacent. Equal rows count each. Rows whose role starts with
+as text; turns are ordered nulls first; rows of one turn are ordered by role and
+MD5 of the text after damage, so repeated rows are adjacent. Equal rows count each. Rows whose role starts with
 none of s, u, a can only be deleted or get another role. Further columns are ignored.
 """
 
@@ -300,15 +300,20 @@ def chunks(rows: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     Equal rows are counted before any shuffle; the first of a conversation's rows of one
     role and text is found by an aggregate, not by gathering them.
     """
-    key = ["conv_id", "turn", "role", "text"]
-    hurt = damaged(rows)
-    earliest = hurt.groupBy("conv_id", "role", "text").agg(F.bool_or(F.col("turn").isNull()).alias("any"), F.min("turn").alias("turn"))
-    earliest = earliest.select("conv_id", F.when(~F.col("any"), F.col("turn")).alias("turn"), "role", "text", F.lit(0).cast("bigint").alias("copies"), F.lit(1).alias("first"))
-    counted = hurt.withColumn("first", F.lit(0)).unionByName(earliest).groupBy(*key).agg(F.sum("copies").alias("copies"), F.max("first").alias("first"))
-    # ordered by a hash of the text, so that no text is a sample of the ranges
+    key = ["conv_id", "turn", "role", "mark"]
+    hurt = damaged(rows).withColumn("mark", F.unhex(F.md5(F.col("text").cast("binary"))))
+    # texts stay out of this: their digests tell them apart
+    earliest = hurt.groupBy("conv_id", "role", "mark").agg(F.bool_or(F.col("turn").isNull()).alias("any"), F.min("turn").alias("turn"))
+    earliest = earliest.select(
+        "conv_id", F.when(~F.col("any"), F.col("turn")).alias("turn"), "role", F.lit(None).cast("string").alias("text"),
+        F.lit(0).cast("bigint").alias("copies"), "mark", F.lit(1).alias("first"),
+    )
+    both = hurt.withColumn("first", F.lit(0)).unionByName(earliest)
+    counted = both.groupBy(*key).agg(F.max("text").alias("text"), F.sum("copies").alias("copies"), F.max("first").alias("first"))
+    # ordered by digests, so that no text is a sample of the ranges
     order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.asc("role"), F.asc("mark")]
-    ranged = counted.withColumn("mark", F.xxhash64("text")).repartitionByRange(shuffle_tasks(rows.sparkSession), *order)
-    ordered = ranged.sortWithinPartitions(*order, F.asc("text")).select(*key, "copies", "first")
+    ranged = counted.repartitionByRange(shuffle_tasks(rows.sparkSession), *order)
+    ordered = ranged.sortWithinPartitions(*order).select("conv_id", "turn", "role", "text", "copies", "first")
     return ordered.mapInArrow(lambda batches: _batches(_cut(batches, bounds), CHUNK), CHUNK_SQL)
 
 
