@@ -27,13 +27,14 @@ _powers: dict[int, np.ndarray] = {}
 
 @dataclass(frozen=True)
 class Words:
-    """Hash, row and piece of each word, in the order of the texts."""
+    """Hash, row, piece and place of each word, in the order of the texts; `raw` is their bytes in lower case."""
 
     hashes: np.ndarray
     rows: np.ndarray
     pieces: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    raw: np.ndarray
 
 
 def byte_classes(spaces: bytes, breaks: bytes = b"") -> np.ndarray:
@@ -90,7 +91,7 @@ def words(column: pa.Array, classes: np.ndarray) -> Words:
     raw, offsets = _buffers(column)
     if not len(raw):
         none = np.zeros(0, "i8")
-        return Words(np.zeros(0, "u8"), none, none, none, none)
+        return Words(np.zeros(0, "u8"), none, none, none, none, raw)
     low = _LOWER[raw]
     kind = classes[low]
     inside = kind == WORD
@@ -106,4 +107,4 @@ def words(column: pa.Array, classes: np.ndarray) -> Words:
     rows = np.searchsorted(offsets, starts, side="right") - 1
     # equal row and piece: no break lies between two words
     pieces = np.cumsum(kind == BREAK)[starts]
-    return Words(hashes, rows, pieces, starts, ends)
+    return Words(hashes, rows, pieces, starts, ends, low)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayglass.llm import ann, conversations, fingerprints, jaccard_join, near_dedup, packing, quality, sentencepiece_codec, substring, token_counts, toxicity, warc
+from dayglass.llm import ann, collocations, conversations, fingerprints, jaccard_join, near_dedup, packing, quality, sentencepiece_codec, substring, token_counts, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -160,3 +160,47 @@ join (select reach.r, min(y.doc_id) as component_id from reach join texts y on y
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's faults after damage, and the cheapest edits that mend it."""
     return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 phrases of two to four words that stick together most."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_collocations"] = rf"""
+with texts as (
+    select row_number() over () as r, coalesce(lang, 'und') as lang, {_LOWER} as text from documents
+), pieces as (
+    select r, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece from texts
+), lists as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), grams as (
+    select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+    from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from lists, range(1, 5) t(k) where len(w) >= k)
+), counts as materialized (
+    select lang, phrase, k, count(*) as f from grams group by all
+), totals as (
+    select lang, sum(f)::bigint as n from counts where k = 1 group by lang
+), phrases as materialized (
+    select lang, k, phrase, string_split(phrase, ' ') as w, f as a from counts where k > 1 and f >= 30
+), cuts as materialized (
+    select lang, phrase, a, cut, array_to_string(w[1:cut], ' ') as head, array_to_string(w[cut + 1:k], ' ') as tail
+    from (select *, unnest(range(1, k)) as cut from phrases)
+), scored as (
+    select c.lang, c.phrase, c.a, c.cut, x.f as l, y.f as r, 2000000::hugeint * c.a // (x.f::hugeint + y.f) as score
+    from cuts c join counts x on x.lang = c.lang and x.phrase = c.head join counts y on y.lang = c.lang and y.phrase = c.tail
+), worst as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+), inside as (
+    select lang, a as f, array_to_string(w[i:i + size - 1], ' ') as phrase
+    from (select lang, a, w, size, unnest(range(1, k - size + 2)) as i from phrases, range(2, 4) t(size) where size < k)
+), longer as (
+    select lang, phrase, max(f) as f from inside group by all
+), kept as (
+    select w.* from worst w left join longer g on g.lang = w.lang and g.phrase = w.phrase
+    where g.f is null or 100::hugeint * g.f < 80::hugeint * w.a
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+from kept join totals using (lang) qualify rank <= 2000
+"""

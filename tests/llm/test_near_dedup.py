@@ -91,7 +91,7 @@ def test_edge_rows(edge, empty):
     assert {r.class_id for r in rows if r.doc_id in (2, 3)} == {2}
     kept = near_dedup.keep_one(edge)
     assert kept.columns == edge.columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 1, 2, 4, 5, 7]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 1, 2, 4, 5, 7, 7]
     assert near_dedup.near_duplicates(empty).count() == near_dedup.keep_one(empty).count() == 0
 
 
