@@ -15,7 +15,7 @@ import pyarrow as pa
 from dayglass.llm.words import mix
 
 #: Bytes of text that are worked on at a time; one longer text is worked on alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 WORD, SPACE, BREAK = 0, 1, 2
 _BASE = 0x9E3779B97F4A7C15

@@ -40,7 +40,7 @@ CLASSES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Ids of a dense tile's side; ids below DENSE_IDS have dense tiles. Strips of the others.
 SIDE, DENSE_IDS, STRIPS = 1 << 11, 1 << 13, 64
 #: Pairs that a task holds before it counts them, and words that it counts before it sends them.
-HELD, WORDS_HELD = 1 << 22, 200_000
+HELD, WORDS_HELD = 3 << 19, 60_000
 #: Bits of the filter of symbols without a rank, and the parts in which it is made.
 FILTER_BITS, FILTER_PARTS = 1 << 26, 16
 #: First step of the sums: tasks of the scan that one of its tasks reads, as a share.
@@ -173,17 +173,18 @@ def symbol_filter(level: DataFrame) -> np.ndarray:
     return out
 
 
-def tiled(left: np.ndarray, right: np.ndarray, ids: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tile and code within it of each pair of ranks. Dense tiles come first."""
-    side = DENSE_IDS // SIDE
-    tile = (left // SIDE) * side + right // SIDE
-    code = (left % SIDE) * SIDE + right % SIDE
-    rare = np.flatnonzero((left >= DENSE_IDS) | (right >= DENSE_IDS))
-    strip = -(-ids // STRIPS)
-    a, b = left[rare], right[rare]
-    tile[rare] = side * side + (a // strip) * STRIPS + b // strip
-    code[rare] = (a % strip) * strip + b % strip
-    return tile, code
+#: Bits of a code within its tile; the tile's number is above them.
+CODE_BITS = 32
+
+
+def tiled(left: np.ndarray, right: np.ndarray, ids: int) -> np.ndarray:
+    """Tile and code within it of each pair of ranks, in one number. Dense tiles come first."""
+    side, strip = DENSE_IDS // SIDE, -(-ids // STRIPS)
+    left, right = left.astype("i8"), right.astype("i8")
+    dense = (left < DENSE_IDS) & (right < DENSE_IDS)
+    tile = np.where(dense, (left // SIDE) * side + right // SIDE, side * side + (left // strip) * STRIPS + right // strip)
+    width = np.where(dense, SIDE, strip)
+    return (tile << CODE_BITS) + (left % width) * width + right % width
 
 
 def untiled(tile: int, code: np.ndarray, ids: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,21 +195,23 @@ def untiled(tile: int, code: np.ndarray, ids: int) -> tuple[np.ndarray, np.ndarr
     return (tile // side) * width + code // width, (tile % side) * width + code % width
 
 
-def counted(tile: np.ndarray, code: np.ndarray, dense: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def counted(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Codes and their counts, tile by tile: by bincount, or as runs of the sorted codes."""
-    if dense:
-        for t in np.flatnonzero(np.bincount(tile, minlength=1)).tolist():
-            cells = np.bincount(code[tile == t], minlength=1)
-            some = np.flatnonzero(cells)
-            yield t, some, cells[some]
+    first_sparse = (DENSE_IDS // SIDE) ** 2 << CODE_BITS
+    dense = keys[keys < first_sparse]
+    for t in np.unique(dense >> CODE_BITS).tolist():
+        cells = np.bincount(dense[dense >> CODE_BITS == t] & ((1 << CODE_BITS) - 1))
+        some = np.flatnonzero(cells)
+        yield t, some, cells[some]
+    sparse = np.sort(keys[keys >= first_sparse])
+    if not len(sparse):
         return
-    order = np.lexsort((code, tile))
-    tile, code = tile[order], code[order]
-    new = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (code[1:] != code[:-1])]) if len(tile) else np.zeros(0, "i8")
-    n = np.diff(np.r_[new, len(tile)])
-    tile, code = tile[new], code[new]
-    starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else []
-    for a, b in zip(starts, np.r_[starts[1:], len(tile)] if len(starts) else []):
+    new = np.flatnonzero(np.r_[True, sparse[1:] != sparse[:-1]])
+    n = np.diff(np.r_[new, len(sparse)])
+    sparse = sparse[new]
+    tile, code = sparse >> CODE_BITS, sparse & ((1 << CODE_BITS) - 1)
+    starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(tile)]):
         yield int(tile[a]), code[a:b], n[a:b]
 
 
@@ -235,19 +238,15 @@ def _tile_batch(tile: int, salt: int, code: np.ndarray, count: np.ndarray) -> pa
 def pairs(docs: DataFrame, known: list[Broadcast]) -> DataFrame:
     """Neighbouring symbols of the last level in `known`: tiles of counts, or pairs of hashes with n."""
 
-    def flush(left: list[np.ndarray], right: list[np.ndarray], ids: int, salt: int) -> Iterator[pa.RecordBatch]:
-        tile, code = tiled(np.concatenate(left).astype("i8"), np.concatenate(right).astype("i8"), ids)
-        often = tile < (DENSE_IDS // SIDE) ** 2
-        for dense in (True, False):
-            here = often == dense
-            for t, codes, counts in counted(tile[here], code[here], dense):
-                yield _tile_batch(t, salt, codes, counts)
+    def flush(keys: list[np.ndarray], salt: int) -> Iterator[pa.RecordBatch]:
+        for tile, codes, counts in counted(np.concatenate(keys)):
+            yield _tile_batch(tile, salt, codes, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [t.value for t in known]
         salt = TaskContext.get().partitionId() % SALTS
         ids = len(tables[-1].symbols)
-        left, right, held = [], [], 0
+        keys, held = [], 0
         for batch in by_bytes(batches, "text"):
             found = words(batch.column(1), CLASSES)
             single = symbols = symbols_of(found, batch.column(0).to_pylist())
@@ -263,9 +262,8 @@ def pairs(docs: DataFrame, known: list[Broadcast]) -> DataFrame:
             both &= joined if len(tables) == 1 else True
             a, b = rank[:-1][both], rank[1:][both]
             ranked = (a >= 0) & (b >= 0)
-            left.append(a[ranked])
-            right.append(b[ranked])
-            held += len(left[-1])
+            keys.append(tiled(a[ranked], b[ranked], ids))
+            held += len(keys[-1])
             if not ranked.all():
                 rest = np.stack([symbols[:-1][both][~ranked], symbols[1:][both][~ranked]], axis=1)
                 some, n = np.unique(rest, axis=0, return_counts=True)
@@ -273,10 +271,10 @@ def pairs(docs: DataFrame, known: list[Broadcast]) -> DataFrame:
                 columns = [none.cast(pa.int64()), none.cast(pa.int64()), pa.array(n), none.cast(pa.binary()), pa.array(some[:, 0].view("i8")), pa.array(some[:, 1].view("i8"))]
                 yield pa.RecordBatch.from_arrays(columns, schema=PAIRS)
             if held >= HELD:
-                yield from flush(left, right, ids, salt)
-                left, right, held = [], [], 0
+                yield from flush(keys, salt)
+                keys, held = [], 0
         if held:
-            yield from flush(left, right, ids, salt)
+            yield from flush(keys, salt)
 
     return _rows(docs).mapInArrow(run, PAIRS_SQL)
 
@@ -293,10 +291,11 @@ def _merged(rows: Iterator[tuple[int, bytes]], dense: bool) -> tuple[np.ndarray,
     codes, counts, held = [np.zeros(0, "i8")], [np.zeros(0, "i8")], 0
 
     def merge() -> tuple[np.ndarray, np.ndarray]:
-        code, place = np.unique(np.concatenate(codes), return_inverse=True)
-        count = np.zeros(len(code), "i8")
-        np.add.at(count, place, np.concatenate(counts))
-        return code, count
+        code = np.concatenate(codes)
+        order = np.argsort(code)
+        code, count = code[order], np.concatenate(counts)[order]
+        new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+        return code[new], np.add.reduceat(count, new) if len(new) else count
 
     for n, data in rows:
         code, count = unpacked(n, data)
