@@ -330,7 +330,7 @@ def _(w):
         .otherwise(F.concat(F.lit("U"), F.lpad(F.col("user_id").cast("string"), 5, "0")))
         .alias("user")
     )
-    return X._people(noisy).groupBy("user").agg(F.count("*").alias("n"))
+    return X.people(noisy).groupBy("user").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -29,7 +29,7 @@ def _share(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
 
 
-def _people(log: DataFrame) -> DataFrame:
+def people(log: DataFrame) -> DataFrame:
     return log.where(F.col("user") != SYSTEM_ACCOUNT)
 
 
@@ -39,7 +39,7 @@ def logon_buckets(
     """Distinct (user, pc, activity, five-minute bucket) of relevant sign-in events."""
     activity = F.col("activity")
     return (
-        _people(within(log, start, end))
+        people(within(log, start, end))
         .where(activity.isin("Logon", "Logoff") | like_any(activity, FAILED))
         .select("user", "pc", "activity", five_minutes(F.col("ts")).alias("bucket"))
         .distinct()
@@ -75,7 +75,7 @@ def http_features(
     """Web features from (user, url, activity, ts)."""
     url, ts = F.col("url"), F.col("ts")
     return (
-        _people(within(log, start, end))
+        people(within(log, start, end))
         .groupBy("user", F.to_date(ts).alias("activity_date"))
         .agg(
             F.count(url).alias("url_visits"),
@@ -98,7 +98,7 @@ def email_features(
     ts = F.col("ts")
     size = F.col("email_size").try_cast("double")
     return (
-        _people(within(log, start, end))
+        people(within(log, start, end))
         .groupBy("user", F.to_date(ts).alias("activity_date"))
         .agg(
             F.count("*").alias("emails_sent"),

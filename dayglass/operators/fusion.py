@@ -55,6 +55,14 @@ def _filled(feature: str, mode: str) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
 
+def fill_silent(stacked: DataFrame, fill: str = "by_role", keep_presence: bool = False) -> DataFrame:
+    """Zeros and nulls of silent sources in a table with has_<source> markers; see fuse."""
+    if fill not in ("by_role", "blanket"):
+        raise ValueError(f"fill must be 'by_role' or 'blanket', not {fill!r}")
+    present = [f"has_{s}" for s in SOURCES] if keep_presence else []
+    return stacked.select(*KEY, *[_filled(f, fill).alias(f) for f in FEATURES], *present)
+
+
 def fuse(
     logon: DataFrame,
     http: DataFrame,
@@ -67,12 +75,7 @@ def fuse(
     fill "by_role": a silent source means zero for counts and unknown (null) for the
     ratio-like columns. fill "blanket": zero everywhere (the population mode).
     """
-    if fill not in ("by_role", "blanket"):
-        raise ValueError(f"fill must be 'by_role' or 'blanket', not {fill!r}")
-    present = [f"has_{s}" for s in SOURCES] if keep_presence else []
-    return stack_sources(logon, http, email).select(
-        *KEY, *[_filled(f, fill).alias(f) for f in FEATURES], *present
-    )
+    return fill_silent(stack_sources(logon, http, email), fill, keep_presence)
 
 
 def null_audit(df: DataFrame) -> DataFrame:
