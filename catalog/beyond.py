@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import ctes as C
-from catalog.queries import ORACLE, UD, cols, query, rounded
+from catalog.queries import ORACLE, UD, _user_stats, _user_table, cols, query, rounded
 from catalog.world import World
-from dayglass.contract import FEATURES, KEY, LOGON_FEATURES
+from dayglass.contract import ALERT_COLUMNS, FEATURES, KEY, LOGON_FEATURES
 from dayglass.functions.timing import within
+from dayglass.operators import attribution, baseline, drift, explain_queue
 from dayglass.sources import activity, store
 from dayglass.streaming import features as SF
 from dayglass.streaming import scoring as SS
@@ -65,3 +66,108 @@ def _(w):
     days = SF.daily_matrix(replayed(w, w.logs, activity.LIVE[0]), keywords=activity.KEYWORDS)
     SS.score_days(days, f"{path}/models", f"{path}/scores", f"{path}/checkpoint", availableNow=True).awaitTermination()
     return rounded(SS.read_scores(w.spark, f"{path}/scores").drop("query", "batch", "model_version"))
+
+
+# --- X6: drift, retrain trigger, refit by one day ------------------------------------
+
+_cuts = {f: f"list_distinct([{cols(f'quantile_cont({f}, {p})' for p in drift.DECILES)}])" for f in FEATURES}
+
+
+def _bins(side: str) -> str:
+    """Bins of each feature by the training deciles."""
+    return " union all ".join(
+        f"select '{f}' as measure, d, case when {f} is null then -1 else len(list_filter(c, lambda e: e < {f})) end as bin "
+        f"from fused_{side}, (select {_cuts[f]} as c from fused_h)"
+        for f in FEATURES
+    )
+
+
+_psi = f"""
+with_sides as (
+    select measure, bin, count(*) filter (side = 'h') as r, count(*) filter (side = 'l') as l
+    from (select 'h' as side, * from ({_bins('h')}) union all select 'l', * from ({_bins('l')})) group by all
+), totals as (
+    select measure, sum(r)::bigint as n_reference, sum(l)::bigint as n_live,
+           sum(r) filter (bin >= 0) as seen_r, sum(l) filter (bin >= 0) as seen_l
+    from with_sides group by measure
+), terms as (
+    select measure, n_reference, n_live,
+           greatest(r / n_reference, {drift.LEAST_SHARE}::double) as p, greatest(l / n_live, {drift.LEAST_SHARE}::double) as q,
+           sum(case when bin >= 0 then r end) over w / seen_r as below_r, sum(case when bin >= 0 then l end) over w / seen_l as below_l
+    from with_sides join totals using (measure) window w as (partition by measure order by bin)
+), psi as (
+    select measure, n_reference, n_live, sum((q - p) * ln(q / p)) as psi, max(abs(below_r - below_l)) as distance from terms group by all
+)"""
+
+
+def _with_psi(select: str) -> str:
+    """The statement with the expressions above put behind the shared ones."""
+    whole = C.with_ctes(f"select * from ({_bins('h')} union all {_bins('l')})")
+    head = whole[: whole.rindex("\nselect * from (")]
+    return f"{head}, {_psi}\n{select}"
+
+
+def _sketches(w: World) -> tuple[DataFrame, DataFrame]:
+    cuts = drift.training_cuts(w.history)
+    path = store.scratch_path(w.spark, "sketches")
+    for side, df in (("history", w.history), ("live", w.live)):
+        drift.write_sketch(drift.sketch(df, cuts), f"{path}/{side}")
+    return w.spark.read.parquet(f"{path}/history"), w.spark.read.parquet(f"{path}/live")
+
+
+@query("x06a_day_sketches", f"select d as activity_date, measure, bin::int as bin, count(*) as n from ({_bins('l')}) group by all")
+def _(w):
+    return _sketches(w)[1].select("activity_date", "measure", "bin", "n")
+
+
+@query("x06b_stability", "")
+def _(w):
+    history, live = _sketches(w)
+    return rounded(drift.stability(drift.merged(history), drift.merged(live)))
+
+
+ORACLE["x06b_stability"] = _with_psi("select measure, n_reference, n_live, round(psi, 6) as psi, round(distance, 6) as distance from psi")
+
+
+@query("x06c_retrain_decision", "")
+def _(w):
+    history, live = _sketches(w)
+    return drift.decisions(drift.stability(drift.merged(history), drift.merged(live))).select("measure", "verdict")
+
+
+ORACLE["x06c_retrain_decision"] = _with_psi(
+    f"select measure, case when n_live < 100 then 'too_few' when psi >= {drift.RETRAIN} then 'retrain' when psi >= {drift.WATCH} then 'watch' else 'stable' end as verdict from psi"
+)
+
+
+@query("x06d_refit_by_day", f'select usr as "user", days as history_days, {_user_stats} from ubase')
+def _(w):
+    last = activity.HISTORY[1] - dt.timedelta(1)
+    path = store.scratch_path(w.spark, "matrix")
+    store.write_by_day(w.history, path)
+    days = w.spark.read.parquet(path)
+    state = store.materialize(baseline.baseline_state(days.where(F.col("activity_date") < F.lit(last))), "state")
+    day = baseline.baseline_state(days.where(F.col("activity_date") == F.lit(last)))
+    return _user_table(baseline.baseline_from_state(baseline.merge_states(state, day), w.params))
+
+
+# --- X5: a bounded number of explanations a run ---------------------------------------
+
+#: Fewer than the flagged rows of the smallest table, so that every run overflows.
+LIMIT = 12
+
+
+@query(
+    "x05_explain_queue",
+    f"""select {UD}, case when place <= {LIMIT} then 1 when place <= {2 * LIMIT} then 2 else 3 end as run from (
+        select usr, d, row_number() over (order by case when confirmed = 1 then 0 when review = 1 then 1 else 2 end,
+            round(iso * 1000000)::bigint, md5(usr || '|' || cast(d as varchar)), usr, d) as place
+        from scores where confirmed = 1 or review = 1 or gap = 1)""",
+)
+def _(w):
+    flagged = store.materialize(attribution.flagged_rows(w.scores).select(*KEY, *ALERT_COLUMNS, "iso_forest_raw_score"), "flagged")
+    first, rest = explain_queue.next_run(flagged, None, LIMIT)
+    rest = store.materialize(rest, "overflow")
+    second, rest = explain_queue.next_run(flagged.limit(0), rest, LIMIT)
+    runs = [first.withColumn("run", F.lit(1)), second.withColumn("run", F.lit(2)), rest.withColumn("run", F.lit(3))]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).select(*KEY, "run")

@@ -32,14 +32,12 @@ def user_baseline(history: DataFrame, params: Params = Params()) -> DataFrame:
     One row per user with enough days. A user's arrays hold one entry per day, so the
     calendar bounds them; one shuffle by user serves both the quantiles and the MAD.
     """
-    gathered = (
-        history.groupBy("user")
-        .agg(
-            F.count("*").alias("history_days"),
-            *[F.collect_list(f).alias(f) for f in FEATURES],
-        )
-        .where(F.col("history_days") >= params.min_history_days)
-    )
+    gathered = history.groupBy("user").agg(F.count("*").alias("history_days"), *[F.collect_list(f).alias(f) for f in FEATURES])
+    return _statistics(gathered.where(F.col("history_days") >= params.min_history_days), params)
+
+
+def _statistics(gathered: DataFrame, params: Params) -> DataFrame:
+    """Rows of user_baseline from (user, history_days, array of values of each feature)."""
     sorted_values = gathered.selectExpr(
         "user", "history_days", *[f"array_sort({f}) AS {f}" for f in FEATURES]
     )
@@ -57,6 +55,34 @@ def user_baseline(history: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
+#: The state's row that counts a user's days stands beside those of the features.
+DAYS = "_days"
+
+
+def baseline_state(history: DataFrame) -> DataFrame:
+    """What the personal baselines need of some days: rows (user, feature, value, n).
+
+    n counts equal values; the feature `_days` counts the user's rows. States of different
+    days add up, so a new day updates them without reading history again.
+    """
+    days = history.select("user", F.lit(DAYS).alias("feature"), F.lit(0.0).alias("value"))
+    values = history.select("user", *FEATURES).unpivot("user", list(FEATURES), "feature", "value").where("value IS NOT NULL")
+    return days.unionByName(values).groupBy("user", "feature", "value").agg(F.count("*").alias("n"))
+
+
+def merge_states(state: DataFrame, other: DataFrame) -> DataFrame:
+    """The state of both spans; they must not share a day."""
+    return state.unionByName(other).groupBy("user", "feature", "value").agg(F.sum("n").alias("n"))
+
+
+def baseline_from_state(state: DataFrame, params: Params = Params()) -> DataFrame:
+    """The same rows as user_baseline of the days in the state; one shuffle by user."""
+    days = F.sum(F.when(F.col("feature") == DAYS, F.col("n")))
+    repeated = "flatten(collect_list(IF(feature = '{0}', array_repeat(value, int(n)), NULL)))"
+    gathered = state.groupBy("user").agg(days.alias("history_days"), *[F.expr(repeated.format(f)).alias(f) for f in FEATURES])
+    return _statistics(gathered.where(F.col("history_days") >= params.min_history_days), params)
+
+
 def cells(df: DataFrame, prefix: str = "") -> DataFrame:
     """Long form of the feature columns: rows (feature, value)."""
     return df.select(*[F.col(f"{prefix}{f}").alias(f) for f in FEATURES]).unpivot(
