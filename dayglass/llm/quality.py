@@ -1,13 +1,16 @@
-"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
-
-Texts are sequences of 48 symbols: letters, a class each for capitals, digits and other
-signs, a space between words, and one repeat mark for a word that equals the one before.
-Tasks count the 4-grams of their shard of all trusted documents; the counts are summed
-by n-gram, and joins of the count tables by context and by suffix turn them into
-probabilities. A model has at most 48**4 n-grams (21 MB), whatever the corpus: that
-bound is what lets it go to the driver and to every task. A document's score is the mean
-negative log probability of its symbols (the log of its perplexity); it is rejected above
-its language's quantile of trusted documents plus a margin.
+"""Operator 7, quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
+
+Symbols are all UTF-16 units (so no script is folded), digits as 0, one space between words,
+and one mark for a word that equals the one before. Tasks count the 4-grams of their shard
+of all documents, and of the trusted ones among them; the sums are tables of as many rows as
+the corpus has n-grams. Joins of the count tables by n-gram, context and suffix, order by
+order, give the loss (negative log probability) of every n-gram that any document holds,
+seen in trusted text or not.
+
+A document's score is the mean loss of its symbols, the log of its perplexity. Each task
+gets the losses of the most frequent n-grams, at most Model.held of them; a document's other
+n-grams go through a join with the whole loss table. Documents above the exact quantile of
+trusted documents of their language, plus a margin, are rejected.
 """
 
 from __future__ import annotations
@@ -20,17 +23,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayglass.llm.common import slices, stored, texts
+from dayglass.llm.byte_words import by_bytes
+from dayglass.llm.collocations import Ranks
+from dayglass.llm.common import stored, texts
+from dayglass.llm.words import mix
+from dayglass.operators.quantiles import quantiles
 
-ORDER = 4
-
-#: The letters with a symbol of their own.
-LETTERS = "abcdefghijklmnopqrstuvwxyz" + "éèêàçüöäßñóíáú"
-SPACE, CAPITAL, DIGIT, STOP, COMMA, DASH, OTHER, REPEAT = range(len(LETTERS), len(LETTERS) + 8)
-SYMBOLS = len(LETTERS) + 8
-
-#: Languages that may have thresholds of their own.
-LANGUAGES = 10_000
+ORDER, BITS = 4, 16
+REPEAT = "\x01"
+_DIGITS = {k: "0" for k in map(ord, "123456789")}
+#: N-grams that a task adds up before it sends them.
+SENT = 1 << 20
+#: Trusted ids, and languages, up to which their table is broadcast; beyond that Spark joins by shuffle.
+IDS, LANGUAGES = 1_000_000, 10_000
 
 
 @dataclass(frozen=True)
@@ -39,116 +44,142 @@ class Rule:
 
     quantile: float = 0.99
     margin: float = 0.35
-
-
-def _symbol_table() -> np.ndarray:
-    table = np.full(0x251, OTHER, "u1")
-    for c in range(0x250):
-        letter = chr(c)
-        if letter.isspace():
-            table[c] = SPACE
-        elif letter.isupper():
-            table[c] = CAPITAL
-        elif letter.isdigit():
-            table[c] = DIGIT
-    for c, symbol in [*((c, k) for k, c in enumerate(LETTERS)), (".", STOP), (",", COMMA), ("-", DASH), ("\x01", REPEAT)]:
-        table[ord(c)] = symbol
-    return table
-
-
-_TABLE = _symbol_table()
+    held: int = 1 << 20
 
 
 def ngrams(text: str) -> np.ndarray:
-    """Numbers of the 4-grams of a text, one for each symbol after the opening spaces."""
-    words = text.replace("\x01", " ").split()
-    marked = "".join([" " + w if w != before else "\x01" for w, before in zip(words, ["", *words])])
+    """The 4-grams of a text as four units in one number, one for each symbol after the opening spaces."""
+    words = text.replace(REPEAT, " ").translate(_DIGITS).split()
+    marked = "".join([" " + w if w != before else REPEAT for w, before in zip(words, ["", *words])])
     if not marked:
-        return np.zeros(0, "i4")
-    points = np.frombuffer(("  " + marked).encode("utf-32-le", "surrogatepass"), "u4")
-    s = _TABLE[np.minimum(points, 0x250)].astype("i4")
-    return ((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:]
+        return np.zeros(0, "u8")
+    s = np.frombuffer(("  " + marked).encode("utf-16-le", "surrogatepass"), "<u2").astype("u8")
+    out = s[:-3]
+    for k in range(1, ORDER):
+        out = (out << np.uint64(BITS)) | s[k : len(s) - ORDER + 1 + k]
+    return out
 
 
-def count_shards(docs: DataFrame) -> DataFrame:
-    """gram, n: 4-gram counts over all whole texts."""
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """gram, n, trusted: occurrences in all whole texts and in those whose column `trusted` is true."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**ORDER, "i8")
-        for part in slices(batches):
-            found = [ngrams(t) for t in texts(part.column(0))]
-            if found:
-                total += np.bincount(np.concatenate(found), minlength=SYMBOLS**ORDER)
-        grams = np.flatnonzero(total)
-        for at in range(0, len(grams), 50_000):
-            some = grams[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
+    def sent(grams: list[np.ndarray], n: list[np.ndarray], t: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        all_, place = np.unique(np.concatenate(grams), return_inverse=True)
+        return all_, *(np.bincount(place, np.concatenate(c), len(all_)).astype("i8") for c in (n, t))
 
-    shards = docs.select("text").mapInArrow(count, "gram bigint, n bigint")
-    return shards.groupBy("gram").agg(F.sum("n").alias("n"))
+    def batch_of(sums: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sums[0].view("i8")), pa.array(sums[1]), pa.array(sums[2])], ["gram", "n", "trusted"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, n, t, held = [], [], [], 0
+        for part in by_bytes(batches, "text"):
+            found = [ngrams(x) for x in texts(part.column(0))]
+            sure = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), [len(f) for f in found])
+            every = np.concatenate(found)
+            some, place = np.unique(every, return_inverse=True)
+            grams.append(some)
+            n.append(np.bincount(place, minlength=len(some)))
+            t.append(np.bincount(place, sure, len(some)).astype("i8"))
+            held += len(some)
+            if held > SENT:
+                sums = sent(grams, n, t)
+                if len(sums[0]) > SENT // 2:
+                    yield batch_of(sums)
+                    grams, n, t, held = [], [], [], 0
+                else:
+                    (grams, n, t), held = ([s] for s in sums), len(sums[0])
+                    grams, n, t = list(grams), list(n), list(t)
+        if held:
+            yield batch_of(sent(grams, n, t))
+
+    shards = docs.select("text", "trusted").mapInArrow(count, "gram bigint, n bigint, trusted bigint")
+    return shards.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
     """Discounts of counts 1, 2 and 3 or more, from how many n-grams occur 1 to 4 times."""
-    n1, n2, n3, n4 = (
-        v or 0 for v in counts.agg(*(F.count_if(F.col("n") == k) for k in (1, 2, 3, 4))).first()
-    )
+    n1, n2, n3, n4 = (v or 0 for v in counts.agg(*(F.count_if(F.col("n") == k) for k in (1, 2, 3, 4))).first())
     y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.0
     steps = [(n1, n2, 1), (n2, n3, 2), (n3, n4, 3)]
     return [max(0.0, k - (k + 1) * y * above / own) if own else k * y / 2 for own, above, k in steps]
 
 
-def train(docs: DataFrame) -> np.ndarray:
-    """-ln p of the last symbol of every 4-gram, from all whole texts of `docs`.
+def _suffix(order: int) -> Column:
+    """The last order - 1 symbols of an n-gram of that order."""
+    return F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
+
 
-    Without any text all symbols are equally likely.
+def losses(counts: DataFrame) -> DataFrame:
+    """gram, n, loss of every 4-gram of the table gram_counts, by the model of its trusted counts.
+
+    Without any trusted text all units are equally likely.
     """
-    counts = {ORDER: stored(count_shards(docs), "ngrams")}
+    levels = {ORDER: counts.where("trusted > 0").select("gram", F.col("trusted").alias("n"))}
+    asked = {ORDER: counts.select("gram")}
     for order in range(ORDER - 1, 0, -1):  # below the top: in how many contexts an n-gram follows
-        shorter = (F.col("gram") % SYMBOLS**order).alias("gram")
-        counts[order] = counts[order + 1].select(shorter).groupBy("gram").agg(F.count("*").alias("n"))
-    dense, below = np.zeros(0), None
+        shorter = _suffix(order + 1).alias("gram")
+        levels[order] = stored(levels[order + 1].select(shorter).groupBy("gram").agg(F.count("*").alias("n")), "ngrams")
+        asked[order] = stored(asked[order + 1].select(shorter).distinct(), "asked")
+    below = None
     for order in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(counts[order])
+        d1, d2, d3 = _discounts(levels[order])
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        rows = counts[order].select(
-            "gram", "n", F.floor(F.col("gram") / SYMBOLS).alias("context"), (F.col("gram") % SYMBOLS ** (order - 1)).alias("suffix"), discount.alias("d")
-        )
-        contexts = rows.groupBy("context").agg(F.sum("n").alias("all"), (F.sum("d") / F.sum("n")).alias("rest"))
-        joined = rows.join(contexts, "context")
-        lower = F.lit(1.0 / SYMBOLS)
+        context = F.shiftrightunsigned("gram", BITS).alias("context")
+        seen = levels[order].select("gram", context, "n", discount.alias("d"))
+        contexts = seen.groupBy("context").agg(F.sum("n").alias("all"), (F.sum("d") / F.sum("n")).alias("rest"))
+        rows = asked[order].join(seen.drop("context"), "gram", "left").withColumn("context", context).join(contexts, "context", "left")
+        lower = F.lit(1.0 / (1 << BITS))
         if below is not None:
-            joined = joined.join(below, "suffix")
+            rows = rows.withColumn("suffix", _suffix(order)).join(below, "suffix")
             lower = F.col("lower")
-        level = stored(
-            joined.select("gram", "context", "rest", ((F.col("n") - F.col("d")) / F.col("all") + F.col("rest") * lower).alias("p")),
-            "level",
-        )
-        below = level.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-        # at most SYMBOLS ** order rows
-        seen = level.select("gram", "context", "rest", "p").toArrow()
-        gram, context = seen["gram"].to_numpy(), seen["context"].to_numpy()
-        rest = np.ones(SYMBOLS ** (order - 1))
-        rest[context] = seen["rest"].to_numpy()
-        shorter = np.full((1, SYMBOLS), 1.0 / SYMBOLS) if order == 1 else np.tile(dense.reshape(-1, SYMBOLS), (SYMBOLS, 1))
-        dense = (rest[:, None] * shorter).ravel()
-        dense[gram] = seen["p"].to_numpy()
-    return -np.log(dense).astype("f4")
-
-
-def score(docs: DataFrame, model: np.ndarray) -> Column:
-    """Mean nats a symbol of column `text` of `docs`; 0 for a text without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def mean(column: pa.Array) -> pa.Array:
-        losses, out = shared.value, np.zeros(len(column), "f8")
-        for i, text in enumerate(column):
+        own = F.coalesce((F.col("n") - F.col("d")) / F.col("all"), F.lit(0.0))
+        level = rows.select("gram", (own + F.coalesce("rest", F.lit(1.0)) * lower).alias("p"))
+        below = stored(level.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "level")
+    return counts.select("gram", "n").join(below.withColumnRenamed("suffix", "gram"), "gram").select("gram", "n", (-F.log("lower")).alias("loss"))
+
+
+def _frequent(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The most frequent n-grams (at most `most`) and their losses; and whether these are all."""
+    top = table.orderBy(F.desc("n"), "gram").limit(most).select("gram", "loss").toArrow()
+    return top["gram"].to_numpy().view("u8"), top["loss"].to_numpy(), table.count() <= most
+
+
+def with_nats(docs: DataFrame, table: DataFrame, most: int) -> DataFrame:
+    """`docs` with a column __nats: the mean loss of a symbol; 0 for a text without words."""
+    grams, loss, whole = _frequent(table, most)
+    shared = docs.sparkSession.sparkContext.broadcast((grams, loss))
+    ranks: list[Ranks] = []
+
+    def judged(column: pa.Array) -> Iterator[tuple[float, int, np.ndarray]]:
+        if not ranks:
+            ranks.append(Ranks(mix(shared.value[0])))
+        for text in column:
             found = ngrams(text.as_py() or "")
-            if len(found):
-                out[i] = losses[found].mean(dtype="f8")
-        return pa.array(out)
+            rank = ranks[0].of(mix(found))
+            known = rank >= 0
+            yield float(shared.value[1][rank[known]].sum()), len(found), found[~known]
+
+    if whole:
+
+        def mean(column: pa.Array) -> pa.Array:
+            return pa.array([total / n if n else 0.0 for total, n, _ in judged(column)], pa.float64())
+
+        return docs.withColumn("__nats", F.arrow_udf(mean, "double")(F.col("text")))
+
+    parts = pa.struct([("total", pa.float64()), ("n", pa.int64()), ("rest", pa.list_(pa.int64()))])
 
-    return F.arrow_udf(mean, "double")(F.col("text"))
+    def split(column: pa.Array) -> pa.Array:
+        return pa.array([{"total": total, "n": n, "rest": rest.view("i8")} for total, n, rest in judged(column)], parts)
+
+    # a score depends on the text alone, so each text is judged once
+    key = F.unhex(F.sha1(F.coalesce("text", F.lit("")).cast("binary"))).alias("__text")
+    texts_ = docs.select(key, "text").dropDuplicates(["__text"])
+    some = stored(texts_.select("__text", F.arrow_udf(split, "struct<total:double,n:bigint,rest:array<bigint>>")("text").alias("s")), "partly")
+    rest = some.select("__text", F.explode("s.rest").alias("gram")).groupBy("__text", "gram").agg(F.count("*").alias("times"))
+    rest = rest.join(table, "gram").groupBy("__text").agg(F.sum(F.col("times") * F.col("loss")).alias("more"))
+    total = (F.col("s.total") + F.coalesce("more", F.lit(0.0))) / F.col("s.n")
+    nats = some.join(rest, "__text", "left").select("__text", F.when(F.col("s.n") > 0, total).otherwise(0.0).alias("__nats"))
+    return docs.withColumn("__text", key).join(nats, "__text").drop("__text")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -162,30 +193,29 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     )
 
 
+def small(table: DataFrame, most: int) -> DataFrame:
+    """A narrow table, to be broadcast if it has no more than `most` rows."""
+    table = stored(table, "narrow")
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def _language() -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit(""))
 
 
-def thresholds(scores: DataFrame, rule: Rule) -> DataFrame:
-    """language, threshold: from the scores (lang, nats) of trusted documents.
-
-    The row of language null is for languages without any.
-    """
-    at = F.percentile_approx("nats", rule.quantile, 10_000) + rule.margin
-    return scores.select(_language().alias("language"), "nats").rollup("language").agg(at.alias("threshold"))
+def thresholds(scores: DataFrame, rule: Rule) -> tuple[DataFrame, float]:
+    """language, threshold from the scores (lang, nats) of trusted documents, exactly; and the one of all languages."""
+    at = F.get("quantiles", F.lit(0)) + rule.margin
+    by = quantiles(scores.select(_language().alias("language"), "nats"), "nats", (rule.quantile,), ["language"])
+    all_ = quantiles(scores, "nats", (rule.quantile,)).select(at.alias("threshold")).first()
+    return by.select("language", at.alias("threshold")), all_["threshold"] if all_ else float("inf")
 
 
-def threshold_of(docs: DataFrame, limits: DataFrame) -> Column:
-    """The threshold of each document's language, from a table of few languages."""
-    rows = limits.limit(LANGUAGES + 1).collect()
-    if len(rows) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages; clean the column `lang` first")
-    by = {r["language"]: r["threshold"] for r in rows if r["threshold"] is not None}
-    anywhere = F.lit(by.pop(None, float("inf")))
-    if not by:
-        return anywhere
-    known = F.create_map(*(F.lit(x) for pair in by.items() for x in pair))
-    return F.coalesce(F.element_at(known, _language()), anywhere)
+def _model(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    sure = trusted.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__sure"))
+    texts_ = docs.select("doc_id", "text").join(sure, F.col("doc_id") == F.col("__id"), "left")
+    counts = stored(gram_counts(texts_.select("text", F.col("__sure").isNotNull().alias("trusted"))), "grams")
+    return stored(losses(counts), "losses")
 
 
 def classify(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -195,19 +225,24 @@ def classify(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFra
     one whose doc_id or lang is null are scored alike; with no trusted document at all
     every document stays. `keep` is false above the threshold.
     """
-    trusted = trusted_ids(labels)
-    model = train(docs.join(trusted, "doc_id", "left_semi"))
-    scored = stored(docs.select("doc_id", "lang", score(docs, model).alias("nats")), "scores")
-    limit = threshold_of(docs, thresholds(scored.join(trusted, "doc_id", "left_semi"), rule))
-    return scored.select(
-        "doc_id", "lang", F.exp("nats").alias("perplexity"), F.exp(limit).alias("threshold"), (F.col("nats") <= limit).alias("keep")
-    )
+    trusted = small(trusted_ids(labels), IDS)
+    model = _model(docs, trusted)
+    rows = docs.select("doc_id", "lang", "text")
+    scored = stored(with_nats(rows, model, rule.held).select("doc_id", "lang", F.col("__nats").alias("nats")), "scores")
+    by, anywhere = thresholds(scored.join(trusted, "doc_id", "left_semi"), rule)
+    limited = scored.withColumn("language", _language()).join(small(by, LANGUAGES), "language", "left")
+    limit = F.coalesce("threshold", F.lit(anywhere))
+    return limited.select("doc_id", "lang", F.exp("nats").alias("perplexity"), F.exp(limit).alias("threshold"), (F.col("nats") <= limit).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of `docs` that the classifier keeps, all columns as they were."""
-    trusted = trusted_ids(labels)
-    own = docs.join(trusted, "doc_id", "left_semi")
-    model = train(own)
-    scored = stored(own.select("lang", score(docs, model).alias("nats")), "scores")
-    return docs.where(score(docs, model) <= threshold_of(docs, thresholds(scored, rule)))
+    trusted = small(trusted_ids(labels), IDS)
+    model = _model(docs, trusted)
+    own = docs.select("doc_id", "lang", "text").join(trusted, "doc_id", "left_semi")
+    scored = stored(with_nats(own, model, rule.held).select("lang", F.col("__nats").alias("nats")), "scores")
+    by, anywhere = thresholds(scored, rule)
+    limits = small(by.select(F.col("language").alias("__language"), F.col("threshold").alias("__threshold")), LANGUAGES)
+    judged = with_nats(docs, model, rule.held).join(limits, _language() == F.col("__language"), "left")
+    kept = judged.where(F.col("__nats") <= F.coalesce("__threshold", F.lit(anywhere)))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
