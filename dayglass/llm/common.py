@@ -51,6 +51,7 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.
     for batch in batches:
         for start in range(0, batch.num_rows, size):
             yield batch.slice(start, size)
+    pa.default_memory_pool().release_unused()  # workers are used again
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -8,6 +8,7 @@ to the tokenizer.
 
 from __future__ import annotations
 
+import json
 from itertools import chain
 
 import numpy as np
@@ -16,10 +17,15 @@ from tokenizers import Tokenizer
 
 from dayglass.llm.words import forget
 
-#: Chunks and words a worker remembers; further ones are encoded each time.
-CHUNKS, WORDS = 500_000, 700_000
+#: Chunks and words after which a worker forgets them and starts anew.
+CHUNKS, WORDS = 400_000, 500_000
 
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+#: Fixed value: how such a tokenizer file splits text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What ends the last token of a word, and what every special string holds.
+WORD_END, SPECIAL = "</w>", "<|"
+
+_SPLIT = regex.compile(PATTERN).findall
 _PLAIN = regex.compile(r"[\x00-ɏ]*").fullmatch
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -34,43 +40,66 @@ def encoder(path: str) -> "WordEncoder":
 class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        splits = [p.get("pattern", {}).get("Regex") for p in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        odd = [t["content"] for t in rules["added_tokens"] if SPECIAL not in t["content"]]
+        if rules["model"].get("end_of_word_suffix") != WORD_END or splits[:1] != [PATTERN] or odd:
+            raise ValueError(f"{path} does not split text into words as this encoder does")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.chunks: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
 
     def ids(self, batch: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text, without added tokens."""
         split = [t.split(" ") for t in batch]
+        if len(self.chunks) >= CHUNKS:
+            self.chunks = {"": b""}
         missing = set(chain.from_iterable(split)).difference(self.chunks)
-        known = self.chunks
         if missing:
-            new = self._encode(missing)
-            if len(known) < CHUNKS:
-                known.update(new)
-            else:
-                known = _Both(known, new)
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+            self.chunks.update(self._encode(missing))
+        known = self.chunks.__getitem__
+        return [b"".join(map(known, s)) for s in split]
 
     def _encode(self, chunks: set[str]) -> dict[str, bytes]:
         # Up to U+024F every text is in composed form and lower-casing has no context;
         # other chunks, and those that may hold a special string, are encoded as they are.
-        parts = {c: _SPLIT(c.lower()) if _PLAIN(c) and "<|" not in c else [c] for c in chunks}
-        missing = set(chain.from_iterable(parts.values())).difference(self.words)
-        known = self.words
-        if missing:
-            order = list(missing)
-            found = self.tokenizer.encode_batch_fast(order, add_special_tokens=False)
-            new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(order, found)}
-            if len(known) < WORDS:
-                known.update(new)
-            else:
-                known = _Both(known, new)
-        return {c: b"".join(map(known.__getitem__, p)) for c, p in parts.items()}
-
-
-class _Both:
-    def __init__(self, first: dict, second: dict):
-        self.first, self.second = first, second
-
-    def __getitem__(self, key):
-        found = self.first.get(key)
-        return self.second[key] if found is None else found
+        parts = {c: _parts(c) for c in chunks}
+        if len(self.words) >= WORDS:
+            self.words = {}
+        words = set(chain.from_iterable(p for p in parts.values() if p is not None)).difference(self.words)
+        if words:
+            self.words.update(self._words(list(words)))
+        known = self.words.__getitem__
+        whole = [c for c, p in parts.items() if p is None]
+        found = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else []
+        out = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(whole, found)}
+        out.update((c, b"".join(map(known, p))) for c, p in parts.items() if p is not None)
+        return out
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of split words: many are encoded as one text, which is cut behind the tokens that end a word."""
+        out: dict[str, bytes] = {}
+        for start in range(0, len(words), 2000):
+            some = words[start : start + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cuts) != len(some) + 1 or cuts[-1] != 4 * len(ids):
+                found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+                out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found))
+                continue
+            raw = ids.tobytes()
+            out.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+        return out
+
+
+def _parts(chunk: str) -> list[str] | None:
+    """The words of a chunk; None for one that is encoded as it is."""
+    if not _PLAIN(chunk) or SPECIAL in chunk:
+        return None
+    if chunk.isalpha():
+        return [chunk.lower()]
+    if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+        return [chunk[:-1].lower(), chunk[-1]]
+    return _SPLIT(chunk.lower())
