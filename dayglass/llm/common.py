@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+#: How to empty what a worker remembers between its tasks, by name.
+MEMOS: dict[str, Callable[[], None]] = {}
+
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE = 512
 
@@ -46,6 +49,13 @@ def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def use_memo(name: str | None) -> None:
+    """Empty all memos but `name`: a worker that goes over to other work gives their memory back."""
+    for other, forget in MEMOS.items():
+        if other != name:
+            forget()
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that few texts are Python objects at a time."""
     for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from dayglass.llm.byte_words import by_bytes
 from dayglass.llm.collocations import Ranks
-from dayglass.llm.common import stored, texts
+from dayglass.llm.common import stored, texts, use_memo
 from dayglass.llm.words import mix
 from dayglass.operators.quantiles import quantiles
 
@@ -71,6 +71,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(sums[0].view("i8")), pa.array(sums[1]), pa.array(sums[2])], ["gram", "n", "trusted"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memo(None)
         grams, n, t, held = [], [], [], 0
         for part in by_bytes(batches, "text"):
             found = [ngrams(x) for x in texts(part.column(0))]
@@ -151,6 +152,7 @@ def with_nats(docs: DataFrame, table: DataFrame, most: int) -> DataFrame:
     ranks: list[Ranks] = []
 
     def judged(column: pa.Array) -> Iterator[tuple[float, int, np.ndarray]]:
+        use_memo(None)
         if not ranks:
             ranks.append(Ranks(mix(shared.value[0])))
         for text in column:
@@ -164,7 +166,8 @@ def with_nats(docs: DataFrame, table: DataFrame, most: int) -> DataFrame:
         def mean(column: pa.Array) -> pa.Array:
             return pa.array([total / n if n else 0.0 for total, n, _ in judged(column)], pa.float64())
 
-        return docs.withColumn("__nats", F.arrow_udf(mean, "double")(F.col("text")))
+        # declared so, a filter on it is not evaluated a second time below the join with the limits
+        return docs.withColumn("__nats", F.arrow_udf(mean, "double").asNondeterministic()(F.col("text")))
 
     parts = pa.struct([("total", pa.float64()), ("n", pa.int64()), ("rest", pa.list_(pa.int64()))])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayglass.llm.common import slices, stored, texts
+from dayglass.llm.common import slices, stored, texts, use_memo
 
 #: Letters of other scripts that look like a Latin one.
 HOMOGLYPHS = {
@@ -225,6 +225,7 @@ def score(lexicon: Lexicon) -> Column:
     """Toxicity of column `text`, 0 to 1; null and empty texts get the score of no match."""
 
     def run(column: pa.Array) -> pa.Array:
+        use_memo(None)
         automaton = lexicon.automaton()
         found = [features(fold(t.as_py() or ""), automaton) for t in column]
         return pa.array(probability(np.array(found, "f8").reshape(-1, 2), lexicon.curve))

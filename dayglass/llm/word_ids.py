@@ -15,7 +15,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from dayglass.llm.words import forget
+from dayglass.llm.common import MEMOS, use_memo
 
 #: Chunks and words after which a worker forgets them and starts anew.
 CHUNKS, WORDS = 400_000, 500_000
@@ -30,9 +30,16 @@ _PLAIN = regex.compile(r"[\x00-ɏ]*").fullmatch
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+def _forget() -> None:
+    for known in _encoders.values():
+        known.chunks, known.words = {"": b""}, {}
+
+
+MEMOS["chunks"] = _forget
+
+
 def encoder(path: str) -> "WordEncoder":
     if path not in _encoders:
-        forget()  # a worker that goes over to token ids needs no word hashes
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
@@ -53,6 +60,7 @@ class WordEncoder:
 
     def ids(self, batch: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text, without added tokens."""
+        use_memo("chunks")
         split = [t.split(" ") for t in batch]
         if len(self.chunks) >= CHUNKS:
             self.chunks = {"": b""}

@@ -5,13 +5,17 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from dayglass.llm.common import MEMOS, use_memo
+
 #: Words whose hash a worker remembers.
 WORDS = 500_000
 
 _known: dict[str, int] = {}
+MEMOS["words"] = _known.clear
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
+    use_memo("words")
     try:
         return np.fromiter(map(_known.__getitem__, words), "u8", len(words))
     except KeyError:
@@ -23,11 +27,6 @@ def word_hashes(words: list[str]) -> np.ndarray:
         return np.fromiter(map(_known.__getitem__, words), "u8", len(words))
 
 
-def forget() -> None:
-    """Give the memory of the remembered words back."""
-    _known.clear()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     x = x ^ (x >> np.uint64(31))
