@@ -1430,11 +1430,14 @@ def _(w):
     f"""select {UD}, count(*) as feed_visits, count(distinct host) as feed_hosts from (
         select usr, cast(ts as date) as d, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) as host
         from http_log where usr <> 'SYSTEM') v
-    where host in (select lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) from pages where page_id % 10 = 0)
+    where host in (select lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) as host from pages
+        group by all having avg(length(html)) > (select avg(length(html)) from pages))
       and host <> '' group by usr, d""",
 )
 def _(w):
-    feed = w.table("pages").where("page_id % 10 = 0").select(feeds.host(F.col("url")).alias("host"))
+    pages = w.table("pages").select(feeds.host(F.col("url")).alias("host"), F.length("html").alias("size"))
+    usual = pages.agg(F.avg("size")).first()[0]
+    feed = pages.groupBy("host").agg(F.avg("size").alias("size")).where(F.col("size") > usual).select("host")
     return feeds.feed_hits(w.logs["http"], feed)
 
 
