@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog import ctes as C
 from catalog.queries import ORACLE, UD, _user_stats, _user_table, cols, query, rounded
 from catalog.world import World
-from dayglass.contract import ALERT_COLUMNS, FEATURES, KEY, LOGON_FEATURES
+from dayglass.contract import ALERT_COLUMNS, FEATURES, HTTP_FEATURES, KEY, LOGON_FEATURES
 from dayglass.functions.timing import within
 from dayglass.operators import attribution, baseline, drift, explain_queue
 from dayglass.sources import activity, store
@@ -151,6 +151,37 @@ def _(w):
     return _user_table(baseline.baseline_from_state(baseline.merge_states(state, day), w.params))
 
 
+# --- X1: a daily feed in the keywords' place ------------------------------------------
+
+
+def _fed(w: World) -> World:
+    """The same world with the web features of the feed."""
+    feed = store.materialize(activity.threat_feed(w.spark, w.dir), "feed")
+    return World(w.spark, w.dir, w.params, feed)
+
+
+@query("x01b_feed_list", "select domain, verdict, listed_from::date as listed_from, listed_to::date as listed_to from feed_list")
+def _(w):
+    return activity.threat_feed(w.spark, w.dir)
+
+
+@query("x01c_feed_feature", "")
+def _(w):
+    return _fed(w).fused().select(*KEY, *HTTP_FEATURES)
+
+
+ORACLE["x01c_feed_feature"] = C.with_ctes(f"select {UD}, {cols(HTTP_FEATURES)} from fused_a", C.WITH_FEED)
+
+
+@query("x01d_feed_scores", "")
+def _(w):
+    return rounded(_fed(w).scores)
+
+
+_scores_sql = ORACLE["e04_score_live"]
+ORACLE["x01d_feed_scores"] = C.with_ctes(_scores_sql[_scores_sql.rindex("select " + UD):], C.WITH_FEED)
+
+
 # --- X5: a bounded number of explanations a run ---------------------------------------
 
 #: Fewer than the flagged rows of the smallest table, so that every run overflows.

@@ -7,6 +7,7 @@ aggregates of DuckDB, full outer joins, and a CASE expression for the stump fore
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 LOGON = ["total_event_buckets", "off_hours_ratio", "unique_systems_accessed", "failed_login_ratio", "active_orphan_sessions"]
 HTTP = ["url_visits", "upload_event_count", "keyword_match_indicator", "unique_external_domains", "after_hours_browsing"]
@@ -43,6 +44,30 @@ CTES["http_log"] = """
          case e.event_type when 'purchase' then 'WWW Upload' else 'WWW Visit' end as activity
   from ev e join pages p on p.page_id = e.event_id % (select count(*) from pages)
   where e.event_type in ('click', 'purchase')"""
+CTES["feed_list"] = """
+  with sized as (
+    select lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) as host, length(html) as size from pages
+  ), named as (
+    select host, size, (select avg(size) from sized) as usual, list_aggregate(string_split(host, '.')[-3:], 'string_agg', '.') as domain
+    from sized where host <> ''
+  )
+  select domain, 'block' as verdict, date '2024-01-01' + cast(sum(size) % 20 as int) as listed_from,
+         case when count(*) % 3 > 0 then date '2024-01-01' + cast(sum(size) % 20 as int) + 5 + cast(count(*) % 15 as int) end as listed_to
+  from named group by domain having avg(size) > any_value(usual)
+  union all
+  select host, 'allow', date '2024-01-10', null from named where host <> domain group by host having max(size) <= any_value(usual)"""
+CTES["http_feed"] = """
+  with seen as (
+    select distinct lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) as host, cast(ts as date) as d from http_log
+  ), judged_hosts as (
+    select host, d, verdict
+    from seen join feed_list on (host = domain or ends_with(host, '.' || domain))
+      and listed_from <= d and (listed_to is null or d < listed_to)
+    qualify row_number() over (partition by host, d order by length(domain) desc, listed_from desc, verdict desc) = 1
+  )
+  select l.*, coalesce(j.verdict = 'block', false) as blocked
+  from http_log l left join judged_hosts j
+    on j.host = lower(regexp_extract(l.url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) and j.d = cast(l.ts as date)"""
 CTES["email_log"] = """
   select usr, ts,
          case when k < 5 then null when k < 40 then 'a' || k || '@dtaa.com'
@@ -93,6 +118,14 @@ for w, where in WINDOWS.items():
     CTES[f"blanket_{w}"] = f"""
   select usr, d, {', '.join(f'coalesce({f}, 0)::double as {f}' for f in ALL)} from stack_{w}"""
 
+#: The web features with the daily feed in the keywords' place.
+WITH_FEED = {
+    f"http_{w}": CTES[f"http_{w}"]
+    .replace("url ilike '%page=%' or url ilike '%#top%'", "blocked")
+    .replace("from http_log", "from http_feed")
+    for w in WINDOWS
+}
+
 _stats = lambda f: (
     f"coalesce(quantile_cont({f}, 0.5), 0) as {f}_med, "
     f"coalesce(mad({f}), 0) / 0.6744897501960817::double as {f}_mad, "
@@ -198,14 +231,15 @@ CTES["report"] = """
 _ORDER = list(CTES)
 
 
-def with_ctes(sql: str) -> str:
-    """Prefix the expressions a query needs, in dependency order."""
+def with_ctes(sql: str, changed: Mapping[str, str] = {}) -> str:
+    """Prefix the expressions a query needs, in dependency order; `changed` ones stand in for ours."""
+    ctes = {**CTES, **changed}
     needed: set[str] = set()
     todo = [sql]
     while todo:
         text = todo.pop()
         for name in set(re.findall(r"\b[a-z]+(?:_[a-z]+|0)?\b", text)) & set(CTES) - needed:
             needed.add(name)
-            todo.append(CTES[name])
-    parts = [f"{n} as ({CTES[n]})" for n in _ORDER if n in needed]
+            todo.append(ctes[name])
+    parts = [f"{n} as ({ctes[n]})" for n in _ORDER if n in needed]
     return f"with {', '.join(parts)}\n{sql}" if parts else sql

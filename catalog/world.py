@@ -37,8 +37,8 @@ def stump_rows() -> list[tuple]:
 class World:
     """Everything is derived from the tables in `sf_dir`, on demand."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = PARAMS):
-        self.spark, self.dir, self.params = spark, sf_dir, params
+    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = PARAMS, feed: DataFrame | None = None):
+        self.spark, self.dir, self.params, self.feed = spark, sf_dir, params, feed
 
     def table(self, name: str) -> DataFrame:
         return activity.read_table(self.spark, self.dir, name)
@@ -51,7 +51,7 @@ class World:
         return detect.source_features(self.logs, window, activity.KEYWORDS)
 
     def fused(self, window=(None, None), **options) -> DataFrame:
-        return detect.matrix(self.logs, window, activity.KEYWORDS, **options)
+        return detect.matrix(self.logs, window, activity.KEYWORDS, self.feed, **options)
 
     @cached_property
     def history(self) -> DataFrame:

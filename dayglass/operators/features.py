@@ -13,9 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayglass.contract import SYSTEM_ACCOUNT
+from dayglass.contract import KEY, SYSTEM_ACCOUNT
 from dayglass.functions.text import like_any, list_size
 from dayglass.functions.timing import five_minutes, outside_hours, weekend, within
+from dayglass.operators.feeds import feed_matches
 
 # Match patterns and limits of the features.
 FAILED = ("%fail%",)
@@ -71,11 +72,17 @@ def http_features(
     start: dt.date | None = None,
     end: dt.date | None = None,
     keywords: Sequence[str] = KEYWORDS,
+    feed: DataFrame | None = None,
 ) -> DataFrame:
-    """Web features from (user, url, activity, ts)."""
+    """Web features from (user, url, activity, ts).
+
+    With a daily threat feed, the keyword indicator counts visits to hosts that it blocks on
+    the day of the visit, and the keywords are not used.
+    """
     url, ts = F.col("url"), F.col("ts")
-    return (
-        people(within(log, start, end))
+    visits = people(within(log, start, end))
+    daily = (
+        visits
         .groupBy("user", F.to_date(ts).alias("activity_date"))
         .agg(
             F.count(url).alias("url_visits"),
@@ -85,6 +92,11 @@ def http_features(
             F.count_if(outside_hours(ts)).alias("after_hours_browsing"),
         )
     )
+    if feed is None:
+        return daily
+    seen = feed_matches(visits, feed).select(*KEY, F.col("feed_visits").alias("hits"))
+    joined = daily.join(seen, list(KEY), "left")
+    return joined.withColumn("keyword_match_indicator", F.coalesce("hits", F.lit(0))).drop("hits")
 
 
 def email_features(

@@ -21,13 +21,19 @@ Window = tuple[dt.date | None, dt.date | None]
 
 
 def source_features(
-    logs: Mapping[str, DataFrame], window: Window = (None, None), keywords: Sequence[str] = KEYWORDS
+    logs: Mapping[str, DataFrame],
+    window: Window = (None, None),
+    keywords: Sequence[str] = KEYWORDS,
+    feed: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """The three daily feature tables of a window from typed logs."""
+    """The three daily feature tables of a window from typed logs.
+
+    A daily threat feed takes the keywords' place (see http_features).
+    """
     start, end = window
     return {
         "logon": logon_features(logs["logon"], start, end),
-        "http": http_features(logs["http"], start, end, keywords),
+        "http": http_features(logs["http"], start, end, keywords, feed),
         "email": email_features(logs["email"], start, end),
     }
 
@@ -36,10 +42,11 @@ def matrix(
     logs: Mapping[str, DataFrame],
     window: Window = (None, None),
     keywords: Sequence[str] = KEYWORDS,
+    feed: DataFrame | None = None,
     **fuse_options,
 ) -> DataFrame:
     """The fused user-day matrix of a window."""
-    return fuse(**source_features(logs, window, keywords), **fuse_options)
+    return fuse(**source_features(logs, window, keywords, feed), **fuse_options)
 
 
 def explain(
@@ -123,10 +130,11 @@ def run(
     keywords: Sequence[str] = KEYWORDS,
     version: str = "1",
     top_n: int = 5,
+    feed: DataFrame | None = None,
 ) -> dict[str, DataFrame | Model]:
     """Fit on one window, score and explain another."""
-    model = fit(matrix(logs, history_window, keywords), params, version)
-    live = require_rows(materialize(matrix(logs, live_window, keywords), "live"), "live")
+    model = fit(matrix(logs, history_window, keywords, feed), params, version)
+    live = require_rows(materialize(matrix(logs, live_window, keywords, feed), "live"), "live")
     require_nulls(live)
     scores = materialize(score(live, model), "scores")
     alerts = explain(scores, live, model, top_n=top_n)

@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayglass.operators.feeds import host
+
 HISTORY = (dt.date(2024, 1, 1), dt.date(2024, 1, 21))
 LIVE = (dt.date(2024, 1, 21), None)
 KEYWORDS = ("%page=%", "%#top%")
@@ -92,6 +94,31 @@ def logs(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
     }
 
 
+def threat_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily feed from all pages: domains of larger pages than usual are blocked for some
+    days, hosts below a domain that have no larger page are allowed from 2024-01-10 on."""
+    pages = read_table(spark, sf_dir, "pages").select(host(F.col("url")).alias("host"), F.length("html").alias("size"))
+    labels = F.split("host", r"\.")
+    domain = F.array_join(F.when(F.size(labels) > 3, F.slice(labels, -3, 3)).otherwise(labels), ".")
+    named = pages.where("host IS NOT NULL").withColumn("domain", domain)
+    usual = pages.agg(F.avg("size")).scalar()
+    listed_from = "date_add(DATE '2024-01-01', int(sum(size) % 20))"
+    blocked = named.groupBy("domain").agg(
+        F.lit("block").alias("verdict"),
+        F.expr(listed_from).alias("listed_from"),
+        F.expr(f"IF(count(*) % 3 > 0, date_add({listed_from}, int(5 + count(*) % 15)), NULL)").alias("listed_to"),
+        F.avg("size").alias("size"),
+    )
+    allowed = named.where("host <> domain").groupBy(F.col("host").alias("domain")).agg(F.max("size").alias("size"))
+    entries = blocked.where(F.col("size") > usual).drop("size")
+    open_end = F.lit(None).cast("date").alias("listed_to")
+    return entries.unionByName(
+        allowed.where(F.col("size") <= usual).select(
+            "domain", F.lit("allow").alias("verdict"), F.lit(dt.date(2024, 1, 10)).alias("listed_from"), open_end
+        )
+    )
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in ground truth: user-days with at least two error events are positive."""
     return (
