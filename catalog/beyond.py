@@ -12,7 +12,7 @@ from catalog.queries import ORACLE, UD, _user_stats, _user_table, cols, query, r
 from catalog.world import World
 from dayglass.contract import ALERT_COLUMNS, FEATURES, HTTP_FEATURES, KEY, LOGON_FEATURES
 from dayglass.functions.timing import within
-from dayglass.operators import attribution, baseline, drift, explain_queue
+from dayglass.operators import attribution, baseline, devices, drift, explain_queue, files
 from dayglass.sources import activity, store
 from dayglass.streaming import features as SF
 from dayglass.streaming import scoring as SS
@@ -182,6 +182,38 @@ _scores_sql = ORACLE["e04_score_live"]
 ORACLE["x01d_feed_scores"] = C.with_ctes(_scores_sql[_scores_sql.rindex("select " + UD):], C.WITH_FEED)
 
 
+# --- X4: devices and files ------------------------------------------------------------
+
+
+@query("x04a_device_sessions", 'select usr as "user", pc, s as begins, e as ends, closed from device_held')
+def _(w):
+    return devices.device_sessions(activity.device_log(w.spark, w.dir))
+
+
+@query("x04b_device_features", f"select {UD}, {cols(devices.DEVICE_FEATURES)} from device_days")
+def _(w):
+    return devices.device_features(activity.device_log(w.spark, w.dir))
+
+
+@query("x04c_device_live", f"select {UD}, {cols(devices.DEVICE_FEATURES)} from device_days where d >= date '2024-01-21'")
+def _(w):
+    return devices.device_features(activity.device_log(w.spark, w.dir), *activity.LIVE)
+
+
+@query("x04d_file_features", f"select {UD}, {cols(files.FILE_FEATURES)} from file_days")
+def _(w):
+    return rounded(files.file_features(activity.file_log(w.spark, w.dir)))
+
+
+@query("x04e_file_state", f"select {UD}, {cols(files.FILE_FEATURES)} from file_days where d >= date '2024-01-21'")
+def _(w):
+    log, start = activity.file_log(w.spark, w.dir), activity.LIVE[0]
+    half = dt.date(2024, 1, 17)
+    older, newer = files.item_days(within(log, None, half)), files.item_days(within(log, half, start))
+    seen = files.merge_seen(files.last_seen(older), files.last_seen(newer), start)
+    return rounded(files.file_features(log, start, seen=store.materialize(seen, "seen")))
+
+
 # --- X5: a bounded number of explanations a run ---------------------------------------
 
 #: Fewer than the flagged rows of the smallest table, so that every run overflows.

@@ -76,6 +76,53 @@ CTES["email_log"] = """
          case when k < 20 then '' when k < 25 then null
               else repeat('f.doc;', cast(floor(k / 40.0) as int)) || 'f.doc' end as attachment_count
   from ev where event_type in ('signup', 'click')"""
+CTES["device_log"] = """
+  select usr, 'PC-' || (k % 3) as pc, event_type not in ('view', 'error') as opens, epoch(date_trunc('second', ts))::bigint as sec from ev"""
+CTES["device_held"] = """
+  select usr, pc, sec as s, least(sec + 43200, coalesce(next_sec, sec + 43200)) as e,
+         coalesce(not next_opens and next_sec <= sec + 43200, false) as closed
+  from (select *, lead(sec) over w as next_sec, lead(opens) over w as next_opens
+        from (select distinct * from device_log) window w as (partition by usr, pc order by sec, opens))
+  where opens"""
+CTES["device_part"] = """
+  select usr, pc, day, greatest(s, day * 86400) as s, least(e, (day + 1) * 86400) as e
+  from (select *, unnest(generate_series(s // 86400, greatest(e - 1, s) // 86400)) as day from device_held)"""
+CTES["device_days"] = """
+  with point as (
+    select distinct usr, day, s as p from device_part union select distinct usr, day, e from device_part
+  ), piece as (
+    select usr, day, p, lead(p) over (partition by usr, day order by p) as q from point
+  ), covered as (
+    select usr, day, q - p as lasts, count(*) as open
+    from piece join device_part d using (usr, day) where d.s <= p and q <= d.e group by usr, day, p, q
+  ), timed as (
+    select usr, day, sum(lasts)::bigint as held, coalesce(sum(lasts) filter (open >= 2), 0)::bigint as twice from covered group by all
+  ), begun as (
+    select usr, s // 86400 as day, count(*) as n, count(*) filter (not closed) as unclosed from device_held group by all
+  ), machine as (
+    select usr, day, count(distinct pc) as machines from device_part group by all
+  )
+  select usr, date '1970-01-01' + cast(day as int) as d, coalesce(n, 0) as device_sessions, machines as device_machines,
+         coalesce(held, 0) as device_seconds, coalesce(twice, 0) as device_overlap_seconds, coalesce(unclosed, 0) as device_unclosed_sessions
+  from machine left join timed using (usr, day) left join begun using (usr, day)"""
+CTES["file_log"] = r"""
+  select usr, cast(ts as date) as d, lower('C:\R' || (k % 5) || '/f' || (k % 11) || (['.doc', '.PDF', '', '.tar.gz'])[k % 4 + 1]) as item,
+         lower('C:\R' || (k % 5)) as folder, (['doc', 'pdf', '', 'gz'])[k % 4 + 1] as ext from ev"""
+CTES["file_days"] = """
+  with once as (select distinct usr, d, item from file_log), folders as (select distinct usr, d, folder from file_log),
+  rolled as (
+    select a.usr, a.d, count(distinct b.item) as rolling from (select distinct usr, d from once) a
+    join once b on a.usr = b.usr and b.d between a.d - 6 and a.d group by all
+  ), fresh as (
+    select usr, d, count(*) as n from once a
+    where not exists (select 1 from once b where b.usr = a.usr and b.item = a.item and b.d between a.d - 6 and a.d - 1) group by all
+  ), fresh_folders as (
+    select usr, d, count(*) as n from folders a
+    where not exists (select 1 from folders b where b.usr = a.usr and b.folder = a.folder and b.d between a.d - 6 and a.d - 1) group by all
+  )
+  select l.usr, l.d, count(*) as file_events, count(distinct item) as distinct_files, coalesce(any_value(f.n), 0) as new_files,
+         coalesce(any_value(g.n), 0) as new_folders, any_value(rolling) as rolling_files, round(entropy(ext), 6) as extension_entropy
+  from file_log l left join fresh f using (usr, d) left join fresh_folders g using (usr, d) join rolled using (usr, d) group by l.usr, l.d"""
 CTES["labels_t"] = """
   select usr, cast(ts as date) as d, cast(count(*) >= 2 as int) as label
   from ev where event_type = 'error' group by all"""

@@ -66,6 +66,9 @@ HTTP_LOG = _strings("id", "date", "user", "url", "pc", "activity")
 EMAIL_LOG = _strings(
     "id", "date", "user", "pc", "to", "cc", "bcc", "from", "size", "attachment_count", "content"
 )
+# Assumed: the survey names these logs, but not their columns.
+DEVICE_LOG = _strings("id", "date", "user", "pc", "activity")
+FILE_LOG = _strings("id", "date", "user", "pc", "filename", "content")
 
 
 @dataclass(frozen=True)

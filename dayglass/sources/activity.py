@@ -94,6 +94,24 @@ def logs(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
     }
 
 
+def device_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups, clicks and purchases connect a device, views and errors disconnect it."""
+    return _events(spark, sf_dir).select(
+        "user",
+        F.concat(F.lit("PC-"), F.pmod("k", F.lit(3)).cast("string")).alias("pc"),
+        F.when(F.col("event_type").isin("view", "error"), "Disconnect").otherwise("Connect").alias("activity"),
+        "ts",
+    )
+
+
+def file_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event touches a file; its name follows from k."""
+    k = F.col("k")
+    ending = F.element_at(F.array(F.lit(".doc"), F.lit(".PDF"), F.lit(""), F.lit(".tar.gz")), k % 4 + 1)
+    name = F.concat(F.lit("C:\\R"), (k % 5).cast("string"), F.lit("/f"), (k % 11).cast("string"), ending)
+    return _events(spark, sf_dir).select("user", name.alias("filename"), "ts")
+
+
 def threat_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily feed from all pages: domains of larger pages than usual are blocked for some
     days, hosts below a domain that have no larger page are allowed from 2024-01-10 on."""

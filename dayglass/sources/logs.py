@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dayglass.contract import EMAIL_LOG, HTTP_LOG, LOGON_LOG
+from dayglass.contract import DEVICE_LOG, EMAIL_LOG, FILE_LOG, HTTP_LOG, LOGON_LOG
 from dayglass.functions.timing import event_time
 
 BAD_ROW = "_corrupt_record"
@@ -80,6 +80,14 @@ def email_log(raw: DataFrame, strict: bool = True) -> DataFrame:
     )
 
 
+def device_log(raw: DataFrame, strict: bool = True) -> DataFrame:
+    return raw.select("user", "pc", "activity", event_time(F.col("date"), strict).alias("ts"))
+
+
+def file_log(raw: DataFrame, strict: bool = True) -> DataFrame:
+    return raw.select("user", "filename", event_time(F.col("date"), strict).alias("ts"))
+
+
 def read_logon_log(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return logon_log(read_named_csv(spark, path, LOGON_LOG, strict), strict)
 
@@ -94,6 +102,14 @@ def read_email_log(
     return email_log(read_csv(spark, path, EMAIL_LOG, multi_line, strict), strict)
 
 
+def read_device_log(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    return device_log(read_named_csv(spark, path, DEVICE_LOG, strict), strict)
+
+
+def read_file_log(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    return file_log(read_named_csv(spark, path, FILE_LOG, strict), strict)
+
+
 def land_email_log(spark: SparkSession, path: str, landed: str, tasks: int = 200) -> None:
     """Write a mail log once as Parquet by event date.
 
