@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import ctes as C
-from catalog.queries import ORACLE, UD, _user_stats, _user_table, cols, query, rounded
+from catalog.queries import ORACLE, UD, _user_stats, _user_table, cols, query, rnd, rounded
 from catalog.world import World
 from dayglass.contract import ALERT_COLUMNS, FEATURES, HTTP_FEATURES, KEY, LOGON_FEATURES
 from dayglass.functions.timing import within
-from dayglass.operators import attribution, baseline, devices, drift, explain_queue, files
+from dayglass.operators import attribution, baseline, devices, drift, explain_queue, files, gates
 from dayglass.sources import activity, store
 from dayglass.streaming import features as SF
 from dayglass.streaming import scoring as SS
@@ -202,7 +203,7 @@ def _(w):
 
 @query("x04d_file_features", f"select {UD}, {cols(files.FILE_FEATURES)} from file_days")
 def _(w):
-    return rounded(files.file_features(activity.file_log(w.spark, w.dir)))
+    return rounded(files.file_features(activity.file_log(w.spark, w.dir)), files.ENTROPY_DIGITS)
 
 
 @query("x04e_file_state", f"select {UD}, {cols(files.FILE_FEATURES)} from file_days where d >= date '2024-01-21'")
@@ -211,7 +212,53 @@ def _(w):
     half = dt.date(2024, 1, 17)
     older, newer = files.item_days(within(log, None, half)), files.item_days(within(log, half, start))
     seen = files.merge_seen(files.last_seen(older), files.last_seen(newer), start)
-    return rounded(files.file_features(log, start, seen=store.materialize(seen, "seen")))
+    return rounded(files.file_features(log, start, seen=store.materialize(seen, "seen")), files.ENTROPY_DIGITS)
+
+
+# --- features beside the fifteen ------------------------------------------------------
+
+
+def _wide(w: World) -> World:
+    """The same world with the device and file features, their names taken from the history."""
+    found = gates.numeric_columns(World(w.spark, w.dir, w.params, wide=True).fused(activity.HISTORY))
+    return World(w.spark, w.dir, replace(w.params, features=tuple(found)), wide=True)
+
+
+def _wide_sql(select: str) -> str:
+    return C.with_ctes(select, C.WITH_MORE)
+
+
+@query("x07a_wide_matrix", "")
+def _(w):
+    return rounded(_wide(w).live)
+
+
+ORACLE["x07a_wide_matrix"] = _wide_sql(f"select {UD}, {rnd(*C.WIDE)} from fused_l")
+
+
+@query("x07b_wide_scores", "")
+def _(w):
+    return rounded(_wide(w).scores)
+
+
+_wide_flags = cols(f"fl_{f} as {f}_flag" for f in C.WIDE)
+ORACLE["x07b_wide_scores"] = _wide_sql(
+    f"select {UD}, dq as data_quality_risk, {_wide_flags}, cnt as mad_score_count, obs as observed_feature_count, "
+    "round(ratio, 6) as mad_flag_ratio, crit as mad_critical_flag, round(iso, 6) + 0.0::double as iso_forest_raw_score, isof as iso_forest_flag, "
+    "confirmed as confirmed_threat, review as high_risk_review, gap as telemetry_gap_flag, src as baseline_source from scores"
+)
+
+
+@query("x07c_wide_explained", "")
+def _(w):
+    wide = _wide(w)
+    return wide.alerts(top_n=3).select(*KEY, "threat_category", F.size("all_contributions").alias("features"))
+
+
+ORACLE["x07c_wide_explained"] = _wide_sql(
+    f"""select {UD}, case when review = 1 then 'high_risk_review' when confirmed = 1 then 'confirmed_threat' else 'telemetry_gap_flag' end as threat_category,
+    {len(C.WIDE)} as features from scores where confirmed = 1 or review = 1 or gap = 1"""
+)
 
 
 # --- X5: a bounded number of explanations a run ---------------------------------------

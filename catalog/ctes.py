@@ -121,7 +121,7 @@ CTES["file_days"] = """
     where not exists (select 1 from folders b where b.usr = a.usr and b.folder = a.folder and b.d between a.d - 6 and a.d - 1) group by all
   )
   select l.usr, l.d, count(*) as file_events, count(distinct item) as distinct_files, coalesce(any_value(f.n), 0) as new_files,
-         coalesce(any_value(g.n), 0) as new_folders, any_value(rolling) as rolling_files, round(entropy(ext), 6) as extension_entropy
+         coalesce(any_value(g.n), 0) as new_folders, any_value(rolling) as rolling_files, round(entropy(ext), 9) as extension_entropy
   from file_log l left join fresh f using (usr, d) left join fresh_folders g using (usr, d) join rolled using (usr, d) group by l.usr, l.d"""
 CTES["labels_t"] = """
   select usr, cast(ts as date) as d, cast(count(*) >= 2 as int) as label
@@ -178,13 +178,6 @@ _stats = lambda f: (
     f"coalesce(mad({f}), 0) / 0.6744897501960817::double as {f}_mad, "
     f"coalesce(quantile_cont({f}, 0.95), 0) as {f}_p95"
 )
-CTES["ubase"] = f"""
-  select usr, count(*) as days, {', '.join(map(_stats, ALL))}
-  from fused_h group by usr having count(*) >= {MIN_HISTORY}"""
-CTES["gbase"] = f"select {', '.join(map(_stats, ALL))} from fused_h"
-CTES["gbase0"] = f"select {', '.join(map(_stats, ALL))} from blanket_h"
-
-
 def _z(f: str) -> str:
     s = {k: f"case when u.usr is null then g.{f}_{k} else u.{f}_{k} end" for k in ("med", "mad", "p95")}
     x = f"x.{f}"
@@ -195,27 +188,12 @@ def _z(f: str) -> str:
       {s['med']} as m_{f}"""
 
 
-for w in ("h", "l"):
-    CTES[f"z_{w}"] = f"""
-  select x.*, coalesce(u.days, 0) as days,
-         case when u.usr is null then 'global_cold_start' else 'personal' end as src, {', '.join(map(_z, ALL))}
-  from fused_{w} x left join ubase u on u.usr = x.usr cross join gbase g"""
-    CTES[f"flag_{w}"] = f"""
-  select *, {', '.join(f'coalesce((z_{f} > {THRESHOLD})::int, 0) as fl_{f}' for f in ALL)},
-         (({' + '.join(f'({f} is null)::int' for f in ALL)}) / 15.0::double > {TOLERANCE})::int as dq,
-         ({' + '.join(f'({f} is not null)::int' for f in ALL)}) as obs
-  from z_{w}"""
-    CTES[f"ratio_{w}"] = f"""
-  select *, ({' + '.join(f'fl_{f}' for f in ALL)}) as cnt,
-         case when obs > 0 then ({' + '.join(f'fl_{f}' for f in ALL)})::double / obs else 0::double end as ratio
-  from flag_{w}"""
-
 CN = lambda n: f"(2 * (ln({n - 1}::double) + 0.5772156649::double) - 2 * {n - 1}::double / {n})"
 
 
 def stump_counts(i: int) -> tuple[int, int, int]:
     """Samples left of the first cut, between the cuts, right of the second."""
-    left, outer = 150 + 6 * i, 3 + i
+    left, outer = (150 + 6 * i, 3 + i) if i < len(ALL) else (150, 16)
     return left, 256 - left - outer, outer
 
 
@@ -228,10 +206,39 @@ def _stump(i: int, f: str) -> str:
     )
 
 
-for w in ("h", "l"):
-    CTES[f"raw_{w}"] = f"""
-  select *, -pow(2::double, -(({' + '.join(_stump(i, f) for i, f in enumerate(ALL))}) / 15) / {CN(256)}) as raw
+def detector(names: list[str]) -> dict[str, str]:
+    """Baselines, scores, flags and the stump forest over these features."""
+    made = {
+        "ubase": f"""
+  select usr, count(*) as days, {', '.join(map(_stats, names))}
+  from fused_h group by usr having count(*) >= {MIN_HISTORY}""",
+        "gbase": f"select {', '.join(map(_stats, names))} from fused_h",
+    }
+    for w in ("h", "l"):
+        made[f"z_{w}"] = f"""
+  select x.*, coalesce(u.days, 0) as days,
+         case when u.usr is null then 'global_cold_start' else 'personal' end as src, {', '.join(map(_z, names))}
+  from fused_{w} x left join ubase u on u.usr = x.usr cross join gbase g"""
+        made[f"flag_{w}"] = f"""
+  select *, {', '.join(f'coalesce((z_{f} > {THRESHOLD})::int, 0) as fl_{f}' for f in names)},
+         (({' + '.join(f'({f} is null)::int' for f in names)}) / {len(names)}.0::double > {TOLERANCE})::int as dq,
+         ({' + '.join(f'({f} is not null)::int' for f in names)}) as obs
+  from z_{w}"""
+        made[f"ratio_{w}"] = f"""
+  select *, ({' + '.join(f'fl_{f}' for f in names)}) as cnt,
+         case when obs > 0 then ({' + '.join(f'fl_{f}' for f in names)})::double / obs else 0::double end as ratio
+  from flag_{w}"""
+        made[f"raw_{w}"] = f"""
+  select *, -pow(2::double, -(({' + '.join(_stump(i, f) for i, f in enumerate(names))}) / {len(names)}) / {CN(256)}) as raw
   from ratio_{w}"""
+    return made
+
+
+_made = detector(ALL)
+CTES.update({n: _made[n] for n in ("ubase", "gbase")})
+CTES["gbase0"] = f"select {', '.join(map(_stats, ALL))} from blanket_h"
+for w in ("h", "l"):
+    CTES.update({f"{n}_{w}": _made[f"{n}_{w}"] for n in ("z", "flag", "ratio", "raw")})
 CTES["judged"] = f"""
   select *, raw - ({OFFSET}::double) as iso, (ratio >= {CRITICAL})::int as crit,
          (raw - ({OFFSET}::double) < {ISO_THRESHOLD}::double)::int as isof
@@ -275,6 +282,28 @@ CTES["report"] = """
          max(case when pos = 1 then phi end) as p1, max(case when pos = 2 then phi end) as p2
   from contrib_said group by usr, d"""
 
+DEVICE = ["device_sessions", "device_machines", "device_seconds", "device_overlap_seconds", "device_unclosed_sessions"]
+FILE = ["file_events", "distinct_files", "new_files", "new_folders", "rolling_files", "extension_entropy"]
+
+
+def _widened(w: str, when: str) -> str:
+    """The fused matrix with the device and file features of its days."""
+    kept = [f"f.{f}" if f in NULLABLE else f"coalesce(f.{f}, 0)::double as {f}" for f in ALL]
+    more = [f"coalesce(m.{f}, 0)::double as {f}" for f in [*DEVICE, *FILE[:-1]]]
+    return f"""
+  select coalesce(f.usr, m.usr) as usr, coalesce(f.d, m.d) as d, {', '.join(kept + more)}, m.extension_entropy
+  from ({CTES[f"fused_{w}"]}) f full join (select * from device_days full join file_days using (usr, d) where {when}) m
+    on f.usr = m.usr and f.d = m.d"""
+
+
+#: The chain with the device and file features beside the fifteen.
+WIDE = [*ALL, *DEVICE, *FILE]
+WITH_MORE = {
+    **detector(WIDE),
+    "fused_h": _widened("h", "d < date '2024-01-21'"),
+    "fused_l": _widened("l", "d >= date '2024-01-21'"),
+}
+
 _ORDER = list(CTES)
 
 

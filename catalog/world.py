@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from catalog import ctes as C
 from dayglass.contract import FEATURES, Params
 from dayglass.functions.trees import Forest
-from dayglass.operators import baseline, flags
+from dayglass.operators import baseline, devices, files, flags
 from dayglass.operators import forest as IF
 from dayglass.plans import detect
 from dayglass.plans.model import Model, Thresholds, score, self_scored
@@ -19,10 +20,10 @@ from dayglass.sources.store import materialize
 PARAMS = Params(min_history_days=C.MIN_HISTORY)
 
 
-def stump_rows() -> list[tuple]:
+def stump_rows(features: Sequence[str] = FEATURES) -> list[tuple]:
     """One small tree per feature: its cover counts follow a rule, so SQL can restate it."""
     rows = []
-    for i, f in enumerate(FEATURES):
+    for i, f in enumerate(features):
         left, middle, right = C.stump_counts(i)
         rows += [
             (i, 0, f, 0.5 + i / 10, 256),
@@ -37,8 +38,8 @@ def stump_rows() -> list[tuple]:
 class World:
     """Everything is derived from the tables in `sf_dir`, on demand."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = PARAMS, feed: DataFrame | None = None):
-        self.spark, self.dir, self.params, self.feed = spark, sf_dir, params, feed
+    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = PARAMS, feed: DataFrame | None = None, wide: bool = False):
+        self.spark, self.dir, self.params, self.feed, self.wide = spark, sf_dir, params, feed, wide
 
     def table(self, name: str) -> DataFrame:
         return activity.read_table(self.spark, self.dir, name)
@@ -50,7 +51,16 @@ class World:
     def sources(self, window=(None, None)) -> dict[str, DataFrame]:
         return detect.source_features(self.logs, window, activity.KEYWORDS)
 
+    def more(self, window) -> dict[str, DataFrame]:
+        """The device and file features of a window."""
+        return {
+            "device": devices.device_features(activity.device_log(self.spark, self.dir), *window),
+            "file": files.file_features(activity.file_log(self.spark, self.dir), *window),
+        }
+
     def fused(self, window=(None, None), **options) -> DataFrame:
+        if self.wide:
+            options = {"more": self.more(window), "unknown": ["extension_entropy"], **options}
         return detect.matrix(self.logs, window, activity.KEYWORDS, self.feed, **options)
 
     @cached_property
@@ -79,8 +89,8 @@ class World:
 
     @cached_property
     def model(self) -> Model:
-        table = self.spark.createDataFrame(stump_rows(), IF.FOREST_SCHEMA)
-        forest = IF.load_forest(table, 256)
+        table = self.spark.createDataFrame(stump_rows(self.params.features), IF.FOREST_SCHEMA)
+        forest = IF.load_forest(table, 256, self.params.features)
         return Model(
             params=self.params,
             baseline=self.baseline,

@@ -89,8 +89,15 @@ class Params:
     seed: int = 42
     mad_scale: str = "normal"  # or "raw"
     route_on: str = "history"  # or "live": rows of the user in the scored batch
+    features: tuple[str, ...] | None = FEATURES  # None: fit takes all numeric columns
 
     def __post_init__(self) -> None:
+        if self.features is not None:
+            object.__setattr__(self, "features", tuple(self.features))  # a list when read from JSON
+            taken = {*KEY, *[c.removesuffix("_flag") for c in STATUS_COLUMNS]}
+            wrong = [f for f in self.features if not f.isidentifier() or f.lower() in taken]
+            if wrong or not self.features or len({f.lower() for f in self.features}) < len(self.features):
+                raise ValueError(f"features must be different plain names beside the key, not {self.features}")
         if self.mad_scale not in ("normal", "raw"):
             raise ValueError(f"mad_scale must be 'normal' or 'raw', not {self.mad_scale!r}")
         if self.route_on not in ("history", "live"):

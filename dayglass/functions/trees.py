@@ -56,8 +56,9 @@ def grow(x: np.ndarray, limit: int, seed: int, tree: int) -> list[tuple[int, int
 class Forest:
     """A fitted forest as arrays. Size is bounded by trees * (2 * subsample - 1) nodes."""
 
-    def __init__(self, nodes, n_features: int, subsample: int):
-        """`nodes` holds (tree, node, feature or -1, cut, samples)."""
+    def __init__(self, nodes, n_features: int, subsample: int, features=()):
+        """`nodes` holds (tree, node, feature or -1, cut, samples); `features` their names in order."""
+        self.features = tuple(features)
         self.nodes = [tuple(n) for n in nodes]
         self.n_features = n_features
         self.subsample = subsample

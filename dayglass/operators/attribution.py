@@ -59,10 +59,10 @@ def flagged_rows(scores: DataFrame, flags: Sequence[str] = ALERT_COLUMNS) -> Dat
 
 
 def with_raw_features(
-    scores: DataFrame, features: DataFrame, flags: Sequence[str] = ALERT_COLUMNS
+    scores: DataFrame, features: DataFrame, flags: Sequence[str] = ALERT_COLUMNS, names: Sequence[str] = FEATURES
 ) -> DataFrame:
     """Flagged score rows with their raw feature values."""
-    return flagged_rows(scores, flags).join(features.select(*KEY, *FEATURES), list(KEY))
+    return flagged_rows(scores, flags).join(features.select(*KEY, *names), list(KEY))
 
 
 def direction(threshold: float, mode: str = "signed") -> str:
@@ -105,7 +105,7 @@ def with_contributions(df: DataFrame, params: Params, fill: float, mode: str = "
     entries = ", ".join(
         f"struct('{f}' AS feature, {f} AS x, coalesce(z_{f}, {float(fill)!r}D) AS z, "
         f"{f}_median AS median, bround(phi[{i}], 6) AS phi, {f}_flag = 1 AS mad_flagged)"
-        for i, f in enumerate(FEATURES)
+        for i, f in enumerate(params.features)
     )
     return (
         df.selectExpr("*", f"IF(phi IS NULL, NULL, array({entries})) AS entries")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,18 +32,18 @@ def user_baseline(history: DataFrame, params: Params = Params()) -> DataFrame:
     One row per user with enough days. A user's arrays hold one entry per day, so the
     calendar bounds them; one shuffle by user serves both the quantiles and the MAD.
     """
-    gathered = history.groupBy("user").agg(F.count("*").alias("history_days"), *[F.collect_list(f).alias(f) for f in FEATURES])
+    gathered = history.groupBy("user").agg(F.count("*").alias("history_days"), *[F.collect_list(f).alias(f) for f in params.features])
     return _statistics(gathered.where(F.col("history_days") >= params.min_history_days), params)
 
 
 def _statistics(gathered: DataFrame, params: Params) -> DataFrame:
     """Rows of user_baseline from (user, history_days, array of values of each feature)."""
     sorted_values = gathered.selectExpr(
-        "user", "history_days", *[f"array_sort({f}) AS {f}" for f in FEATURES]
+        "user", "history_days", *[f"array_sort({f}) AS {f}" for f in params.features]
     )
     centred = sorted_values.selectExpr(
-        "*", *[f"coalesce({sorted_quantile(f, 0.5)}, 0D) AS {f}_m" for f in FEATURES]
-    ).selectExpr("*", *[f"{absolute_deviations(f, f'{f}_m')} AS {f}_d" for f in FEATURES])
+        "*", *[f"coalesce({sorted_quantile(f, 0.5)}, 0D) AS {f}_m" for f in params.features]
+    ).selectExpr("*", *[f"{absolute_deviations(f, f'{f}_m')} AS {f}_d" for f in params.features])
 
     def stats(f: str) -> str:
         spread = f"{sorted_quantile(f'{f}_d', 0.5)} / {mad_divisor(params)!r}D"
@@ -51,7 +51,7 @@ def _statistics(gathered: DataFrame, params: Params) -> DataFrame:
         return f"struct({f}_m AS median, coalesce({spread}, 0D) AS mad, coalesce({p95}, 0D) AS p95) AS {f}"
 
     return centred.selectExpr(
-        "user", "history_days", f"struct({', '.join(map(stats, FEATURES))}) AS stats"
+        "user", "history_days", f"struct({', '.join(map(stats, params.features))}) AS stats"
     )
 
 
@@ -59,14 +59,14 @@ def _statistics(gathered: DataFrame, params: Params) -> DataFrame:
 DAYS = "_days"
 
 
-def baseline_state(history: DataFrame) -> DataFrame:
+def baseline_state(history: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """What the personal baselines need of some days: rows (user, feature, value, n).
 
     n counts equal values; the feature `_days` counts the user's rows. States of different
     days add up, so a new day updates them without reading history again.
     """
     days = history.select("user", F.lit(DAYS).alias("feature"), F.lit(0.0).alias("value"))
-    values = history.select("user", *FEATURES).unpivot("user", list(FEATURES), "feature", "value").where("value IS NOT NULL")
+    values = history.select("user", *features).unpivot("user", list(features), "feature", "value").where("value IS NOT NULL")
     return days.unionByName(values).groupBy("user", "feature", "value").agg(F.count("*").alias("n"))
 
 
@@ -79,20 +79,20 @@ def baseline_from_state(state: DataFrame, params: Params = Params()) -> DataFram
     """The same rows as user_baseline of the days in the state; one shuffle by user."""
     days = F.sum(F.when(F.col("feature") == DAYS, F.col("n")))
     repeated = "flatten(collect_list(IF(feature = '{0}', array_repeat(value, int(n)), NULL)))"
-    gathered = state.groupBy("user").agg(days.alias("history_days"), *[F.expr(repeated.format(f)).alias(f) for f in FEATURES])
+    gathered = state.groupBy("user").agg(days.alias("history_days"), *[F.expr(repeated.format(f)).alias(f) for f in params.features])
     return _statistics(gathered.where(F.col("history_days") >= params.min_history_days), params)
 
 
-def cells(df: DataFrame, prefix: str = "") -> DataFrame:
+def cells(df: DataFrame, prefix: str = "", features: Sequence[str] = FEATURES) -> DataFrame:
     """Long form of the feature columns: rows (feature, value)."""
-    return df.select(*[F.col(f"{prefix}{f}").alias(f) for f in FEATURES]).unpivot(
-        [], list(FEATURES), "feature", "value"
+    return df.select(*[F.col(f"{prefix}{f}").alias(f) for f in features]).unpivot(
+        [], list(features), "feature", "value"
     )
 
 
 def global_baseline(history: DataFrame, params: Params = Params()) -> DataFrame:
     """Population statistics: rows (feature, median, mad, p95)."""
-    return global_from_cells(cells(history), params)
+    return global_from_cells(cells(history, features=params.features), params)
 
 
 def global_from_cells(values: DataFrame, params: Params = Params()) -> DataFrame:
@@ -143,23 +143,23 @@ def routed(
         *[c for c in live.columns if c not in ("batch_days", "routed_before")],
         "coalesce(history_days, 0L) AS history_days",
         f"IF({known}, '{PERSONAL}', '{GLOBAL}') AS baseline_source",
-        *[stat(f, k) for f in FEATURES for k in NO_STATS],
+        *[stat(f, k) for f in params.features for k in NO_STATS],
     )
 
 
 def with_self_scores(df: DataFrame, params: Params = Params()) -> DataFrame:
     """Add z_<feature> for every feature of a routed table."""
     return df.selectExpr(
-        "*", *[f"{self_score(f, params.mad_threshold)} AS z_{f}" for f in FEATURES]
+        "*", *[f"{self_score(f, params.mad_threshold)} AS z_{f}" for f in params.features]
     )
 
 
 def self_scores(
     live: DataFrame, baseline: DataFrame, population: GlobalStats, params: Params = Params()
 ) -> DataFrame:
-    """Key and the fifteen z columns named by feature; null = unobserved."""
+    """Key and the z columns named by feature; null = unobserved."""
     scored = with_self_scores(routed(live, baseline, population, params), params)
-    return scored.select(*KEY, *[F.col(f"z_{f}").alias(f) for f in FEATURES])
+    return scored.select(*KEY, *[F.col(f"z_{f}").alias(f) for f in params.features])
 
 
 def unknown_users(live: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -175,16 +175,16 @@ def known_users(live: DataFrame, baseline: DataFrame) -> DataFrame:
     return live.select("user").distinct().join(baseline.select("user"), "user", "left_semi")
 
 
-def fill_value(scores: DataFrame) -> DataFrame:
+def fill_value(scores: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Median over all z cells: one row (fill_value). Stands in for unobserved cells."""
-    return quantiles(cells(scores), "value", (0.5,)).select(
+    return quantiles(cells(scores, features=features), "value", (0.5,)).select(
         F.get("quantiles", F.lit(0)).alias("fill_value")
     )
 
 
-def scaling(scores: DataFrame, fill: float) -> DataFrame:
+def scaling(scores: DataFrame, fill: float, features: Sequence[str] = FEATURES) -> DataFrame:
     """Robust scaling of the filled z matrix: rows (feature, center, q25, q75, scale)."""
-    filled = cells(scores).withColumn("value", F.coalesce("value", F.lit(float(fill))))
+    filled = cells(scores, features=features).withColumn("value", F.coalesce("value", F.lit(float(fill))))
     q = lambda i: F.get("quantiles", F.lit(i))
     return quantiles(filled, "value", (0.25, 0.5, 0.75), ["feature"]).select(
         "feature",

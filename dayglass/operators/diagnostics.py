@@ -19,7 +19,7 @@ from dayglass.contract import (
     STATUS_COLUMNS,
     TOLERANCE_GRID,
 )
-from dayglass.operators.flags import MISSING_SHARE
+from dayglass.operators.flags import missing_share
 from dayglass.operators.quantiles import quantiles
 
 DRIFT_LIMIT = 0.05  # fixed value
@@ -199,12 +199,12 @@ def score_drift(scores: DataFrame, score_points: Sequence[float]) -> DataFrame:
     )
 
 
-def missingness(live: DataFrame, scores: DataFrame, tolerance: float) -> DataFrame:
+def missingness(live: DataFrame, scores: DataFrame, tolerance: float, features: Sequence[str] = FEATURES) -> DataFrame:
     """Distribution of the null share per row, with a diagnosis: one row."""
-    share = live.select(F.expr(MISSING_SHARE).alias("share"))
+    share = live.select(F.expr(missing_share(features)).alias("share"))
     found = share.agg(
         F.min("share").alias("share_min"),
-        # at most sixteen different values
+        # at most one value more than features
         F.percentile("share", 0.5).alias("share_median"),
         F.avg("share").alias("share_mean"),
         F.max("share").alias("share_max"),
@@ -220,9 +220,9 @@ def missingness(live: DataFrame, scores: DataFrame, tolerance: float) -> DataFra
     )
 
 
-def tolerance_what_if(live: DataFrame, current: float | None = None) -> DataFrame:
+def tolerance_what_if(live: DataFrame, current: float | None = None, features: Sequence[str] = FEATURES) -> DataFrame:
     """Rows at data-quality risk under other tolerances."""
-    share = live.select(F.expr(MISSING_SHARE).alias("share"))
+    share = live.select(F.expr(missing_share(features)).alias("share"))
     table = _what_if(
         share,
         "tolerance",

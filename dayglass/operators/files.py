@@ -28,6 +28,7 @@ FILE_FEATURES = (
     "extension_entropy",
 )
 KINDS = ("file", "folder")
+ENTROPY_DIGITS = 9
 
 
 def _folder(name: Column) -> Column:
@@ -117,7 +118,9 @@ def file_features(
     kinds = (
         found.where(is_file & (F.col("n") > 0))
         .groupBy(*KEY, _extension(F.col("item")).alias("extension")).agg(F.sum("n").alias("n"))
-        .groupBy(*KEY).agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("extension_entropy"))
+        .groupBy(*KEY).agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("bits"))
+        # the order of a sum changes its last bits; equal mixes must have equal values
+        .select(*KEY, F.round("bits", ENTROPY_DIGITS).alias("extension_entropy"))
     )
     joined = kinds.join(counts, list(KEY)).join(rolling, list(KEY))
     if start is not None:

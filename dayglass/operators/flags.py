@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,12 @@ def _total(terms: Iterable[str]) -> str:
     return f"({' + '.join(terms)})"
 
 
-MISSING_SHARE = f"{_total(f'int(isnull({f}))' for f in FEATURES)} / {len(FEATURES)}D"
+def missing_share(features: Sequence[str] = FEATURES) -> str:
+    """SQL for the share of a row's features that are null."""
+    return f"{_total(f'int(isnull({f}))' for f in features)} / {len(features)}D"
+
+
+MISSING_SHARE = missing_share()
 
 
 def with_flags(df: DataFrame, params: Params = Params()) -> DataFrame:
@@ -24,13 +29,13 @@ def with_flags(df: DataFrame, params: Params = Params()) -> DataFrame:
     return (
         df.selectExpr(
             "*",
-            *[f"coalesce(int(z_{f} > {threshold}), 0) AS {f}_flag" for f in FEATURES],
-            f"int({MISSING_SHARE} > {float(params.missing_data_tolerance)!r}D) AS data_quality_risk",
+            *[f"coalesce(int(z_{f} > {threshold}), 0) AS {f}_flag" for f in params.features],
+            f"int({missing_share(params.features)} > {float(params.missing_data_tolerance)!r}D) AS data_quality_risk",
         )
         .selectExpr(
             "*",
-            f"{_total(f'{f}_flag' for f in FEATURES)} AS mad_score_count",
-            f"{_total(f'int(isnotnull({f}))' for f in FEATURES)} AS observed_feature_count",
+            f"{_total(f'{f}_flag' for f in params.features)} AS mad_score_count",
+            f"{_total(f'int(isnotnull({f}))' for f in params.features)} AS observed_feature_count",
         )
         .selectExpr(
             "*",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ AUTO_OFFSET = -0.5
 Scaling = Mapping[str, tuple[float, float]]
 
 
-def model_input(df: DataFrame, fill: float, scaling: Scaling | None, prefix: str = "z_") -> DataFrame:
+def model_input(df: DataFrame, fill: float, scaling: Scaling | None, prefix: str = "z_", features: Sequence[str] = FEATURES) -> DataFrame:
     """Replace the z columns by filled and robustly scaled x_<feature> columns."""
 
     def scaled(f: str) -> str:
@@ -35,7 +35,7 @@ def model_input(df: DataFrame, fill: float, scaling: Scaling | None, prefix: str
         center, scale = scaling[f] if scaling else (0.0, 1.0)
         return f"({z} - {float(center)!r}D) / {float(scale)!r}D AS x_{f}"
 
-    return df.selectExpr("*", *map(scaled, FEATURES))
+    return df.selectExpr("*", *map(scaled, features))
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, total: int, order: tuple[str, ...] = KEY) -> DataFrame:
@@ -73,7 +73,8 @@ def fit_forest(
     subsample = min(params.subsample, total)
     limit = trees.height_limit(subsample)
     pool_size = min(total, n_trees * subsample)
-    columns = [f"{prefix}{f}" for f in FEATURES]
+    features = params.features
+    columns = [f"{prefix}{f}" for f in features]
     pool = sample_rows(training.select(*KEY, *columns), pool_size, seed, total)
     numbered = pool.select(
         # the pool is bounded by the parameters
@@ -91,7 +92,7 @@ def fit_forest(
         tree = int(rows["tree"].iloc[0])
         x = rows.sort_values("pos")[columns].to_numpy(dtype=float)
         nodes = trees.grow(x, limit, seed, tree)
-        names = [FEATURES[f] if f >= 0 else None for _, f, _, _ in nodes]
+        names = [features[f] if f >= 0 else None for _, f, _, _ in nodes]
         return pd.DataFrame(
             {
                 "tree": tree,
@@ -107,15 +108,15 @@ def fit_forest(
     return drawn.groupBy("tree").applyInPandas(plant, FOREST_SCHEMA)
 
 
-def load_forest(table: DataFrame, subsample: int) -> Forest:
+def load_forest(table: DataFrame, subsample: int, features: Sequence[str] = FEATURES) -> Forest:
     """The forest as arrays; its rows are bounded by trees * (2 * subsample - 1)."""
-    index = {f: i for i, f in enumerate(FEATURES)}
+    index = {f: i for i, f in enumerate(features)}
     rows = table.select("tree", "node", "feature", "cut", "samples").collect()
     nodes = [
         (r["tree"], r["node"], index[r["feature"]] if r["feature"] else -1, r["cut"] or 0.0, r["samples"])
         for r in sorted(rows, key=lambda r: (r["tree"], r["node"]))
     ]
-    return Forest(nodes, len(FEATURES), subsample)
+    return Forest(nodes, len(features), subsample, features)
 
 
 def _ship(df: DataFrame, forest: Forest):
@@ -137,7 +138,7 @@ def raw_score(df: DataFrame, forest: Forest, prefix: str = "x_") -> Column:
         for columns in batches:
             yield pd.Series(local.raw_score(np.column_stack(columns)))
 
-    return score.asNondeterministic()(*[F.col(f"{prefix}{f}") for f in FEATURES])
+    return score.asNondeterministic()(*[F.col(f"{prefix}{f}") for f in forest.features])
 
 
 def score_table(scores: DataFrame, column: str = "raw") -> DataFrame:
@@ -156,13 +157,13 @@ def calibrated_percentile(score: Column, points: list[float]) -> Column:
     return share(score)
 
 
-def importance(attributed: DataFrame, column: str = "phi") -> DataFrame:
+def importance(attributed: DataFrame, column: str = "phi", features: Sequence[str] = FEATURES) -> DataFrame:
     """Mean absolute attribution per feature with rank (ties take the smallest)."""
     spread = attributed.select(
         F.posexplode(column).alias("i", "phi")
     ).groupBy("i").agg(F.avg(F.abs("phi")).alias("mean_abs_shap"))
     named = spread.select(
-        F.element_at(F.array(*map(F.lit, FEATURES)), F.col("i") + 1).alias("feature"), "mean_abs_shap"
+        F.element_at(F.array(*map(F.lit, features)), F.col("i") + 1).alias("feature"), "mean_abs_shap"
     )
     return ranked(named)
 
@@ -192,4 +193,4 @@ def contributions(df: DataFrame, forest: Forest, prefix: str = "x_") -> Column:
             phi[usable] = local.contributions(x[usable])
             yield pd.Series([list(p) if ok else None for p, ok in zip(phi, usable)])
 
-    return explain.asNondeterministic()(*[F.col(f"{prefix}{f}") for f in FEATURES])
+    return explain.asNondeterministic()(*[F.col(f"{prefix}{f}") for f in forest.features])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,50 +18,71 @@ def require_key(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def align(df: DataFrame) -> DataFrame:
-    """Key and the fifteen features in contract order; missing ones are null."""
+def align(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Key and the features in the given order; missing ones are null."""
     have = set(df.columns)
     return require_key(df, "table").select(
         *KEY,
         *[
             (F.col(f) if f in have else F.lit(None)).cast("double").alias(f)
-            for f in FEATURES
+            for f in features
         ],
     )
 
 
-def stack_sources(logon: DataFrame, http: DataFrame, email: DataFrame) -> DataFrame:
+def further_features(more: Mapping[str, DataFrame]) -> dict[str, list[str]]:
+    """Features of the sources beside the three: all columns but the key."""
+    found = {name: [c for c in df.columns if c not in KEY] for name, df in more.items()}
+    names = [*FEATURES, *[f for features in found.values() for f in features]]
+    if len({n.lower() for n in names}) < len(names) or set(found) & set(SOURCES):
+        raise ValueError(f"sources and features need different names, not {found}")
+    return found
+
+
+def stack_sources(
+    logon: DataFrame, http: DataFrame, email: DataFrame, more: Mapping[str, DataFrame] = {}
+) -> DataFrame:
     """Full outer union of the sources by key, nulls kept, with has_<source> markers.
 
-    One keyed aggregation over the union gives the rows of a three-way full outer
+    `more` holds further daily tables by name. One keyed aggregation over the union gives the rows of a three-way full outer
     join with one shuffle less.
     """
-    parts = []
-    for (name, features), df in zip(SOURCES.items(), (logon, http, email)):
+    parts, sources = [], {**SOURCES, **further_features(more)}
+    for (name, features), df in zip(sources.items(), (logon, http, email, *more.values())):
         require_key(df, name)
         parts.append(df.select(*KEY, *features, F.lit(True).alias(f"has_{name}")))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return stacked.groupBy(*KEY).agg(
-        *[F.max(f).cast("double").alias(f) for f in FEATURES],
-        *[F.coalesce(F.max(f"has_{s}"), F.lit(False)).alias(f"has_{s}") for s in SOURCES],
+        *[F.max(f).cast("double").alias(f) for features in sources.values() for f in features],
+        *[F.coalesce(F.max(f"has_{s}"), F.lit(False)).alias(f"has_{s}") for s in sources],
     )
 
 
-def _filled(feature: str, mode: str) -> Column:
+def _filled(feature: str, mode: str, unknown: Mapping[str, str]) -> Column:
     value = F.col(feature)
     if mode == "blanket":
         return F.coalesce(value, F.lit(0.0))
-    if feature in UNKNOWN_IF_SILENT:
-        return F.when(F.col(f"has_{UNKNOWN_IF_SILENT[feature]}"), value)
+    if feature in unknown:
+        return F.when(F.col(f"has_{unknown[feature]}"), value)
     return F.coalesce(value, F.lit(0.0))
 
 
-def fill_silent(stacked: DataFrame, fill: str = "by_role", keep_presence: bool = False) -> DataFrame:
+def fill_silent(
+    stacked: DataFrame,
+    fill: str = "by_role",
+    keep_presence: bool = False,
+    further: Mapping[str, Sequence[str]] = {},
+    unknown: Sequence[str] = (),
+) -> DataFrame:
     """Zeros and nulls of silent sources in a table with has_<source> markers; see fuse."""
     if fill not in ("by_role", "blanket"):
         raise ValueError(f"fill must be 'by_role' or 'blanket', not {fill!r}")
-    present = [f"has_{s}" for s in SOURCES] if keep_presence else []
-    return stacked.select(*KEY, *[_filled(f, fill).alias(f) for f in FEATURES], *present)
+    present = [f"has_{s}" for s in (*SOURCES, *further)] if keep_presence else []
+    source = {f: s for s, features in further.items() for f in features}
+    if set(unknown) - set(source):
+        raise ValueError(f"no further source has {sorted(set(unknown) - set(source))}")
+    silent = {**UNKNOWN_IF_SILENT, **{f: source[f] for f in unknown}}
+    return stacked.select(*KEY, *[_filled(f, fill, silent).alias(f) for f in (*FEATURES, *source)], *present)
 
 
 def fuse(
@@ -69,13 +91,18 @@ def fuse(
     email: DataFrame,
     fill: str = "by_role",
     keep_presence: bool = False,
+    more: Mapping[str, DataFrame] = {},
+    unknown: Sequence[str] = (),
 ) -> DataFrame:
     """The master matrix.
 
+    `more` holds further daily tables by source name; their columns follow the fifteen
+    features, and those in `unknown` are null rather than zero where their source is silent.
+
     fill "by_role": a silent source means zero for counts and unknown (null) for the
     ratio-like columns. fill "blanket": zero everywhere (the population mode).
     """
-    return fill_silent(stack_sources(logon, http, email), fill, keep_presence)
+    return fill_silent(stack_sources(logon, http, email, more), fill, keep_presence, further_features(more), unknown)
 
 
 def null_audit(df: DataFrame) -> DataFrame:

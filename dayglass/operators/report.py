@@ -165,12 +165,12 @@ def missing_details(report: DataFrame, detail: DataFrame) -> DataFrame:
     return report.select(*KEY).join(detail.select(*KEY), list(KEY), "left_anti")
 
 
-def flag_split(scores: DataFrame) -> DataFrame:
+def flag_split(scores: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Flagged and unflagged features of every alert row as two arrays."""
     pairs = F.array(
         *[
             F.struct(F.lit(f).alias("feature"), (F.col(f"{f}_flag") == 1).alias("flagged"))
-            for f in FEATURES
+            for f in features
         ]
     )
     pick = lambda keep: F.transform(

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayglass.contract import ALERT_COLUMNS, FEATURES, KEY, Params
+from dayglass.contract import ALERT_COLUMNS, KEY, Params
 from dayglass.operators import attribution, baseline, diagnostics
 from dayglass.operators import forest as IF
 from dayglass.operators.features import KEYWORDS, email_features, http_features, logon_features
@@ -64,12 +64,12 @@ def explain(
     """
     kept = [
         "iso_forest_raw_score", "mad_flag_ratio", "baseline_source", *ALERT_COLUMNS,
-        *[f"{f}_flag" for f in FEATURES],
+        *[f"{f}_flag" for f in model.features],
     ]
-    chosen = attribution.with_raw_features(scores.select(*KEY, *kept), align(features), flags)
+    chosen = attribution.with_raw_features(scores.select(*KEY, *kept), align(features, model.features), flags, model.features)
     routed = baseline.routed(chosen, model.baseline, model.population, model.params)
     scored = baseline.with_self_scores(routed, model.params)
-    ready = IF.model_input(scored, model.thresholds.fill_value, model.scaling)
+    ready = IF.model_input(scored, model.thresholds.fill_value, model.scaling, features=model.features)
     ready = ready.repartition(IF.spread(ready.sparkSession), *KEY)  # a stated number stays
     attributed = ready.withColumn("phi", IF.contributions(ready, model.forest))
     return attribution.alerts(
@@ -79,21 +79,21 @@ def explain(
 
 def training_input(history: DataFrame, model: Model) -> DataFrame:
     """Filled and scaled training z in x_<feature> columns, beside the key."""
-    z = baseline.self_scores(align(history), model.baseline, model.population, model.params)
-    return IF.model_input(z, model.thresholds.fill_value, model.scaling, prefix="")
+    z = baseline.self_scores(align(history, model.features), model.baseline, model.population, model.params)
+    return IF.model_input(z, model.thresholds.fill_value, model.scaling, "", model.features)
 
 
 def background(history: DataFrame, model: Model, n: int = 200) -> DataFrame:
     """Seeded sample of model inputs from the training rows."""
     x = training_input(history, model)
-    return IF.sample_rows(x.select(*KEY, *[f"x_{f}" for f in FEATURES]), n, model.params.seed, history.count())
+    return IF.sample_rows(x.select(*KEY, *[f"x_{f}" for f in model.features]), n, model.params.seed, history.count())
 
 
 def global_importance(history: DataFrame, model: Model, n: int = 500) -> DataFrame:
     """Mean absolute attribution per feature over a seeded training sample."""
     # the sample is bounded; spread it over the cores
     sample = background(history, model, n).repartition(16, *KEY)
-    return IF.importance(sample.withColumn("phi", IF.contributions(sample, model.forest)))
+    return IF.importance(sample.withColumn("phi", IF.contributions(sample, model.forest)), features=model.features)
 
 
 def full_diagnostics(scores: DataFrame, live: DataFrame, model: Model) -> dict[str, DataFrame]:
@@ -107,10 +107,10 @@ def full_diagnostics(scores: DataFrame, live: DataFrame, model: Model) -> dict[s
         "iso_what_if": diagnostics.iso_what_if(scores, t.iso_threshold),
         "score_drift": diagnostics.score_drift(scores, model.score_points),
         "missingness": diagnostics.missingness(
-            align(live), scores, model.params.missing_data_tolerance
+            align(live, model.features), scores, model.params.missing_data_tolerance, model.features
         ),
         "tolerance_what_if": diagnostics.tolerance_what_if(
-            align(live), model.params.missing_data_tolerance
+            align(live, model.features), model.params.missing_data_tolerance, model.features
         ),
         "score_position": diagnostics.score_position(scores, t.iso_threshold),
         "score_summary": diagnostics.score_summary(scores),

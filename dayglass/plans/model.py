@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from dayglass.operators import baseline as B
 from dayglass.operators import flags
 from dayglass.operators import forest as IF
 from dayglass.operators.fusion import align
-from dayglass.operators.gates import feature_drift, require_unique, validate
+from dayglass.operators.gates import feature_drift, numeric_columns, require_unique, validate
 from dayglass.operators.quantiles import quantiles
 from dayglass.sources.store import existing, materialize
 
@@ -45,6 +46,11 @@ class Model:
     score_points: list[float] = field(default_factory=list)
     version: str = ""
 
+    @property
+    def features(self) -> tuple[str, ...]:
+        """The features it was fitted on, in order."""
+        return self.params.features
+
     def override(self, **changes: float) -> Model:
         """Other thresholds or missing_data_tolerance without a refit."""
         ours = {k: v for k, v in changes.items() if hasattr(self.thresholds, k)}
@@ -55,9 +61,15 @@ class Model:
 
 
 def fit(history: DataFrame, params: Params = Params(), version: str = "1") -> Model:
-    """Learn baselines, thresholds and the forest from the history matrix."""
-    feature_drift(history)
-    history = validate(materialize(align(history), "history"), "history")
+    """Learn baselines, thresholds and the forest from the history matrix.
+
+    With `features=None` in the parameters, the features are the numeric columns of the history.
+    """
+    if params.features is None:
+        params = replace(params, features=tuple(numeric_columns(history)))
+    names = params.features
+    feature_drift(history, names)
+    history = validate(materialize(align(history, names), "history"), "history")
     rows = history.count()
     base = materialize(B.user_baseline(history, params), "baseline")
     population = B.fetch_global(B.global_baseline(history, params))
@@ -65,17 +77,17 @@ def fit(history: DataFrame, params: Params = Params(), version: str = "1") -> Mo
     own = replace(params, route_on="history")
     z = materialize(
         flags.with_flags(B.with_self_scores(B.routed(history, base, population, own), own), own).select(
-            *KEY, *[F.col(f"z_{f}").alias(f) for f in FEATURES], "mad_flag_ratio"
+            *KEY, *[F.col(f"z_{f}").alias(f) for f in names], "mad_flag_ratio"
         ),
         "self-scores",
     )
     critical = flags.critical_ratio(z, params).first()["critical_flag_ratio"]
-    fill_row = B.fill_value(z).first()
+    fill_row = B.fill_value(z, names).first()
     fill = fill_row["fill_value"] if fill_row else 0.0
-    scaling = {r["feature"]: (r["center"], r["scale"]) for r in B.scaling(z, fill).collect()}
-    x = IF.model_input(z, fill, scaling, prefix="")
+    scaling = {r["feature"]: (r["center"], r["scale"]) for r in B.scaling(z, fill, names).collect()}
+    x = IF.model_input(z, fill, scaling, "", names)
     table = materialize(IF.fit_forest(x, rows, params), "forest")
-    forest = IF.load_forest(table, min(params.subsample, rows))
+    forest = IF.load_forest(table, min(params.subsample, rows), names)
     raw = materialize(x.select(IF.raw_score(x, forest).alias("raw")), "training-scores")
     offset, threshold, points = fit_iso_thresholds(raw, params)
     return Model(
@@ -101,37 +113,41 @@ def fit_iso_thresholds(raw: DataFrame, params: Params) -> tuple[float, float, li
     return offset, threshold - offset, [p - offset for p in points]
 
 
-SCORE_COLUMNS = (
-    *KEY,
-    "data_quality_risk",
-    *[f"{f}_flag" for f in FEATURES],
-    "mad_score_count",
-    "observed_feature_count",
-    "mad_flag_ratio",
-    "mad_critical_flag",
-    "iso_forest_raw_score",
-    "iso_forest_flag",
-    *ALERT_COLUMNS,
-    "baseline_source",
-)
+def score_columns(features: Sequence[str] = FEATURES) -> tuple[str, ...]:
+    return (
+        *KEY,
+        "data_quality_risk",
+        *[f"{f}_flag" for f in features],
+        "mad_score_count",
+        "observed_feature_count",
+        "mad_flag_ratio",
+        "mad_critical_flag",
+        "iso_forest_raw_score",
+        "iso_forest_flag",
+        *ALERT_COLUMNS,
+        "baseline_source",
+    )
 
 
-def self_scored(live: DataFrame, model: Model) -> DataFrame:
+def self_scored(live: DataFrame, model: Model, drift: str = "warn") -> DataFrame:
     """Live rows with stats, z, flags, and the forest's x columns."""
     params = model.params
-    feature_drift(live)
-    routed = B.routed(require_unique(align(live)), model.baseline, model.population, params)
+    feature_drift(live, model.features, drift)
+    routed = B.routed(require_unique(align(live, model.features)), model.baseline, model.population, params)
     flagged = flags.with_flags(B.with_self_scores(routed, params), params)
-    return IF.model_input(flagged, model.thresholds.fill_value, model.scaling)
+    return IF.model_input(flagged, model.thresholds.fill_value, model.scaling, features=model.features)
 
 
-def score(live: DataFrame, model: Model, iso_threshold: float | None = None) -> DataFrame:
+def score(
+    live: DataFrame, model: Model, iso_threshold: float | None = None, drift: str = "warn"
+) -> DataFrame:
     """Score every user-day of `live`: one row per input row.
 
-    A repeated user-day aborts the job; missing and unknown features are logged.
+    A repeated user-day aborts the job; missing and unknown features are logged. With
+    drift "raise", features that the model was fitted on must be there.
     """
     threshold = model.thresholds.iso_threshold if iso_threshold is None else iso_threshold
-    ready = self_scored(live, model)
+    ready = self_scored(live, model, drift)
     raw = IF.raw_score(ready, model.forest) - model.thresholds.iso_offset
     judged = ready.withColumns(
         {
@@ -139,7 +155,7 @@ def score(live: DataFrame, model: Model, iso_threshold: float | None = None) ->
             "iso_forest_raw_score": raw,
         }
     ).withColumn("iso_forest_flag", flags.iso_flag(threshold))
-    return flags.with_verdict(judged).select(*SCORE_COLUMNS)
+    return flags.with_verdict(judged).select(*score_columns(model.features))
 
 
 # --- model tables -------------------------------------------------------------
@@ -200,8 +216,8 @@ _META = T.StructType(
 )
 
 
-def _model_checksum(meta: DataFrame) -> str:
-    with_hash = meta.withColumn("feature_schema_hash", schema_hash())
+def _model_checksum(meta: DataFrame, features: tuple[str, ...]) -> str:
+    with_hash = meta.withColumn("feature_schema_hash", schema_hash(features))
     constants = F.sha2(
         F.to_json(F.struct("params", "population", "scaling", "subsample", "iso_offset", "fill_value", "score_points")), 256
     )
@@ -237,7 +253,7 @@ def save_model(model: Model, path: str) -> str:
         table_digest(spark.read.parquet(f"{at}/forest")).first()["digest"],
     )
     meta = spark.createDataFrame([row], _META)
-    total = _model_checksum(meta)
+    total = _model_checksum(meta, model.features)
     meta.coalesce(1).write.mode("errorifexists").parquet(f"{at}/meta")
     spark.createDataFrame([(total,)], "checksum string").coalesce(1).write.mode(
         "errorifexists"
@@ -257,21 +273,22 @@ def load_model(spark: SparkSession, path: str, version: str) -> Model:
     if kept is None:
         log.warning("model %s has no checksum", at)
     stored = kept.first()["checksum"] if kept is not None else None
+    params = Params(**json.loads(found["params"]))
     live = meta.withColumns(
         {
             "baseline_digest": F.lit(table_digest(base).first()["digest"]),
             "forest_digest": F.lit(table_digest(table).first()["digest"]),
         }
     )
-    if stored is not None and _model_checksum(live) != stored:
+    if stored is not None and _model_checksum(live, params.features) != stored:
         raise ValueError(f"model {at} does not match its checksum")
     scaling = json.loads(found["scaling"])
     return Model(
-        params=Params(**json.loads(found["params"])),
+        params=params,
         baseline=base,
         population=json.loads(found["population"]),
         scaling={f: tuple(v) for f, v in scaling.items()} if scaling else None,
-        forest=IF.load_forest(table, found["subsample"]),
+        forest=IF.load_forest(table, found["subsample"], params.features),
         forest_table=table,
         thresholds=Thresholds(
             found["critical_flag_ratio"], found["iso_threshold"], found["iso_offset"], found["fill_value"]

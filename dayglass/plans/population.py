@@ -39,6 +39,7 @@ def mean_minus_std(raw: DataFrame, offset: float = IF.AUTO_OFFSET) -> DataFrame:
 
 
 def fit_population(history: DataFrame, params: Params = PARAMS) -> PopulationModel:
+    params = replace(params, features=FEATURES)  # this mode knows the fifteen
     history = validate(materialize(align(history), "history"), "history")
     rows = history.count()
     population = baseline.fetch_global(baseline.global_baseline(history, params))
