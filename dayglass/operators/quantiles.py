@@ -53,11 +53,13 @@ def quantiles(
     value: str,
     probs: Sequence[float],
     by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group: rows (by..., n, quantiles array<double>).
 
     Nulls and NaN are skipped; a group without values has no row. Infinities are the
     smallest and greatest values; between one and a finite value lies the infinity.
+    With `weight`, a row stands for that many equal ones.
     """
     probs = [float(p) for p in probs]
     keys = list(by) or ["_all"]
@@ -70,7 +72,7 @@ def quantiles(
         df.groupBy(*keys, F.expr(number).alias("v"))
         # `same` is v again, but as an aggregate: conditions on it stay above the counting
         # and are not rewritten in terms of the input
-        .agg(F.count("*").alias("n"), F.max(F.expr(number)).alias("same"))
+        .agg((F.sum(weight) if weight else F.count("*")).alias("n"), F.max(F.expr(number)).alias("same"))
         .where("same IS NOT NULL")
         .select(*keys, "v", "n", F.expr(_BIN).alias("bin"))
         # stated here so that both uses below keep one plan and share its shuffle

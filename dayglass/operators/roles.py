@@ -16,21 +16,27 @@ def role_baseline(history: DataFrame, roles: DataFrame, params: Params = Params(
     """Rows (role, feature, median, mad, p95) from a history matrix and rows (user, role).
 
     Exact quantiles by role and feature; a role of any size is spread like the population.
+    Equal values of a role are counted first: the cells themselves meet neither the medians
+    nor a shuffle by role and feature, which has few groups however many rows there are.
     """
     by = [ROLE, "feature"]
-    values = (
+    counted = (
         history.join(roles.where("role is not null"), "user")
         .select(ROLE, *FEATURES)
         .unpivot([ROLE], list(FEATURES), "feature", "value")
+        .where("value IS NOT NULL")
+        .groupBy(*by, "value")
+        .agg(F.count("*").alias("cells"))
     )
-    location = quantiles(values, "value", (0.5, 0.95), by).select(
+    location = quantiles(counted, "value", (0.5, 0.95), by, "cells").select(
         *by, F.get("quantiles", F.lit(0)).alias("median"), F.get("quantiles", F.lit(1)).alias("p95")
     )
-    off = values.join(location, by).select(*by, F.abs(F.col("value") - F.col("median")).alias("off"))
-    spread = quantiles(off, "off", (0.5,), by).select(
+    # one row per role and feature
+    off = counted.join(F.broadcast(location), by).select(*by, F.abs(F.col("value") - F.col("median")).alias("off"), "cells")
+    spread = quantiles(off, "off", (0.5,), by, "cells").select(
         *by, (F.get("quantiles", F.lit(0)) / mad_divisor(params)).alias("mad")
     )
-    return location.join(spread, by).select(*by, "median", "mad", "p95")
+    return location.join(F.broadcast(spread), by).select(*by, "median", "mad", "p95")
 
 
 def baseline_route(live: DataFrame, personal: DataFrame, roles: DataFrame, stats: DataFrame) -> DataFrame:
