@@ -80,7 +80,10 @@ def _day_of(second: str):
 
 
 def split_at_midnight(sessions: DataFrame) -> DataFrame:
-    """One row for each day that a session touches, with the part of it on that day."""
+    """One row for each day that a session touches, with the part of it on that day.
+
+    `begun` marks the day the session begins on; `closed` stays beside it.
+    """
     days = F.sequence(F.floor(F.col("begins") / DAY), F.floor(F.greatest(F.col("ends") - 1, F.col("begins")) / DAY))
     return sessions.withColumn("day", F.explode(days)).select(
         "user",
@@ -88,6 +91,8 @@ def split_at_midnight(sessions: DataFrame) -> DataFrame:
         F.date_from_unix_date(F.col("day").cast("int")).alias("activity_date"),
         F.greatest("begins", F.col("day") * DAY).alias("begins"),
         F.least("ends", (F.col("day") + 1) * DAY).alias("ends"),
+        (F.col("begins") >= F.col("day") * DAY).alias("begun"),
+        "closed",
     )
 
 
@@ -104,26 +109,44 @@ def device_features(
     within(log, start, end)  # refuses other types than dates
     margin = -(-cutoff // dt.timedelta(days=1)) * dt.timedelta(days=1)
     sessions = device_sessions(within(log, start and start - margin, end and end + margin), cutoff)
-    begun = sessions.groupBy("user", _day_of("begins").alias("activity_date")).agg(
-        F.count("*").alias("device_sessions"), F.count_if(~F.col("closed")).alias("device_unclosed_sessions")
+    # one pass over the sessions: steps up and down by second, and a row for each machine
+    zero, one = F.lit(0), F.lit(1)
+    nowhere, never = F.lit(None).cast("string"), F.lit(None).cast("long")
+
+    def mark(at, pc, step, begun=zero, unclosed=zero):
+        columns = {"at": at, "pc": pc, "step": step, "begun": begun, "unclosed": unclosed}
+        return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+    begun = F.col("begun").cast("int")
+    marks = F.array(
+        mark(F.col("begins"), nowhere, one, begun, F.when(F.col("closed"), zero).otherwise(begun)),
+        mark(F.col("ends"), nowhere, -one),
+        mark(never, F.col("pc"), zero),
     )
-    parts = split_at_midnight(sessions)
-    machines = parts.groupBy(*KEY, "pc").agg(F.lit(1).alias("one")).groupBy(*KEY).agg(F.count("*").alias("device_machines"))
     # a user's day has at most a step a second, however many sessions it holds
-    steps = parts.select(*KEY, F.col("begins").alias("at"), F.lit(1).alias("step")).unionByName(
-        parts.select(*KEY, F.col("ends").alias("at"), F.lit(-1).alias("step"))
-    ).groupBy(*KEY, "at").agg(F.sum("step").alias("step"))
-    order = W.partitionBy(*KEY).orderBy("at")
+    steps = (
+        split_at_midnight(sessions)
+        .select(*KEY, F.explode(marks).alias("m"))
+        .select(*KEY, "m.*")
+        .groupBy(*KEY, "at", "pc")
+        .agg(*[F.sum(c).alias(c) for c in ("step", "begun", "unclosed")])
+    )
+    order = W.partitionBy(*KEY).orderBy("at")  # rows of machines, without a second, come first
     held = steps.select(
-        *KEY,
+        "*",
         F.sum("step").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("open"),
         (F.lead("at").over(order) - F.col("at")).alias("lasts"),
     )
-    lasting = lambda n: F.coalesce(F.sum(F.when(F.col("open") >= n, F.col("lasts"))), F.lit(0))
-    times = held.groupBy(*KEY).agg(lasting(1).alias("device_seconds"), lasting(2).alias("device_overlap_seconds"))
-    joined = machines.join(times, list(KEY)).join(begun, list(KEY), "left")
+    lasting = lambda n: F.sum(F.when(F.col("open") >= n, F.col("lasts")))
+    daily = held.groupBy(*KEY).agg(
+        F.sum("begun").alias("device_sessions"),
+        F.count("pc").alias("device_machines"),
+        lasting(1).alias("device_seconds"),
+        lasting(2).alias("device_overlap_seconds"),
+        F.sum("unclosed").alias("device_unclosed_sessions"),
+    )
     if start is not None:
-        joined = joined.where(F.col("activity_date") >= F.lit(start))
+        daily = daily.where(F.col("activity_date") >= F.lit(start))
     if end is not None:
-        joined = joined.where(F.col("activity_date") < F.lit(end))
-    return joined.select(*KEY, *[F.coalesce(f, F.lit(0)).cast("long").alias(f) for f in DEVICE_FEATURES])
+        daily = daily.where(F.col("activity_date") < F.lit(end))
+    return daily.select(*KEY, *[F.coalesce(f, F.lit(0)).cast("long").alias(f) for f in DEVICE_FEATURES])

@@ -100,29 +100,41 @@ def file_features(
         F.coalesce(F.datediff(after, on) >= days, F.lit(True)).alias("leaves"),
     )
     is_file, is_folder = F.col("kind") == "file", F.col("kind") == "folder"
-    counts = marked.groupBy(*KEY).agg(
-        F.sum(F.when(is_file, F.col("n"))).alias("file_events"),
-        F.count_if(is_file).alias("distinct_files"),
-        F.count_if(is_file & F.col("new")).alias("new_files"),
-        F.count_if(is_folder & F.col("new")).alias("new_folders"),
+    used = is_file & (F.col("n") > 0)
+    one = lambda condition: F.when(condition, 1).otherwise(0)
+    # one pass over the marked items: what a day counts, and what leaves the span on a later day
+    today = F.struct(
+        on.alias("activity_date"),
+        F.when(used, _extension(F.col("item"))).alias("extension"),
+        F.when(used, F.col("n")).alias("n"),
+        one(is_file).alias("files"),
+        one(is_file & F.col("new")).alias("new_files"),
+        one(is_folder & F.col("new")).alias("new_folders"),
+        one(is_file & F.col("new")).alias("step"),
     )
-    steps = F.array(
-        F.struct(on.alias("activity_date"), F.col("new").cast("int").alias("step")),
-        F.struct(F.date_add(on, days).alias("activity_date"), (-F.col("leaves").cast("int")).alias("step")),
+    later = F.struct(
+        F.date_add(on, days).alias("activity_date"),
+        F.lit(None).cast("string").alias("extension"),
+        F.lit(None).cast("long").alias("n"),
+        *[F.lit(0).alias(c) for c in ("files", "new_files", "new_folders")],
+        F.lit(-1).alias("step"),
     )
-    rolling = (
-        marked.where(is_file).select("user", F.explode(steps).alias("s")).select("user", "s.*")
-        .groupBy(*KEY).agg(F.sum("step").alias("step"))
-        .withColumn("rolling_files", F.sum("step").over(W.partitionBy("user").orderBy("activity_date")))
+    sums = ("n", "files", "new_files", "new_folders", "step")
+    mixed = (
+        marked.select("user", F.explode(F.when(is_file & F.col("leaves"), F.array(today, later)).otherwise(F.array(today))).alias("s"))
+        .select("user", "s.*")
+        .groupBy(*KEY, "extension").agg(*[F.sum(c).alias(c) for c in sums])
     )
-    kinds = (
-        found.where(is_file & (F.col("n") > 0))
-        .groupBy(*KEY, _extension(F.col("item")).alias("extension")).agg(F.sum("n").alias("n"))
-        .groupBy(*KEY).agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("bits"))
-        # the order of a sum changes its last bits; equal mixes must have equal values
-        .select(*KEY, F.round("bits", ENTROPY_DIGITS).alias("extension_entropy"))
+    daily = (
+        mixed.groupBy(*KEY).agg(
+            # the order of a sum changes its last bits; equal mixes must have equal values
+            F.round(F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n"), ENTROPY_DIGITS).alias("extension_entropy"),
+            *[F.sum(c).alias(c) for c in sums],
+        )
+        .withColumn("rolling_files", F.sum("step").over(W.partitionBy("user").orderBy("activity_date")))
+        .where("n IS NOT NULL")
+        .withColumnsRenamed({"n": "file_events", "files": "distinct_files"})
     )
-    joined = kinds.join(counts, list(KEY)).join(rolling, list(KEY))
     if start is not None:
-        joined = joined.where(on >= F.lit(start))
-    return joined.select(*KEY, *FILE_FEATURES)
+        daily = daily.where(on >= F.lit(start))
+    return daily.select(*KEY, *FILE_FEATURES)

@@ -160,3 +160,13 @@ def test_csv_logs(spark, tmp_path):
     (tmp_path / "f.csv").write_text('id,date,user,pc,filename,content\n1,01/02/2024 07:00:00,a,p,x.doc,"one, ""two"""\n')
     assert [tuple(r) for r in logs.read_device_log(spark, str(tmp_path / "d.csv")).collect()] == [("a", "p", "Connect", at(2, 7))]
     assert [tuple(r) for r in logs.read_file_log(spark, str(tmp_path / "f.csv")).collect()] == [("a", "x.doc", at(2, 7))]
+
+
+def test_sessions_and_items_are_derived_once(spark, tmp_path):
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
+    spark.createDataFrame([("a", "p", "Connect", at(2, 5))], DEVICES).write.parquet(f"{tmp_path}/devices")
+    spark.createDataFrame([("a", "x/f.doc", at(2, 5))], FILES).write.parquet(f"{tmp_path}/files")
+    window = dt.date(2024, 1, 1), dt.date(2024, 1, 9)
+    sessions = spark.read.parquet(f"{tmp_path}/devices")
+    assert scans(devices.device_features(sessions, *window)) == scans(devices.device_sessions(sessions))
+    assert scans(files.file_features(spark.read.parquet(f"{tmp_path}/files"), *window)) == 1
