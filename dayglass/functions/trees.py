@@ -141,22 +141,63 @@ class Forest:
         return float(np.mean([(v * s.prod(axis=1)).sum() for v, _, _, _, s in self._paths()]))
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
-        """Shapley values of the mean path length: one row per input, one column per feature."""
+        """Shapley values of the mean path length of finite rows: one column per feature.
+
+        What a leaf adds depends only on which of its path intervals hold the row, so it is
+        computed once for each such pattern that occurs and looked up for every row.
+        """
         x = np.asarray(x, dtype=float)
         phi = np.zeros((len(x), self.n_features))
-        for value, feature, low, high, share in self._paths():
-            points, weights = np.polynomial.legendre.leggauss((share.shape[1] + 1) // 2)
-            points, weights = (points + 1) / 2, weights / 2
-            spread = np.zeros((feature.size, self.n_features))
-            spread[np.arange(feature.size), feature.ravel()] = 1.0
+        for tree in self._paths():
+            _, feature, low, high, _ = tree
+            leaves, slots = feature.shape
+            bit = 1 << np.arange(slots)
+            first = np.arange(leaves) << slots  # of each leaf's patterns
+            used = np.unique(feature)
+            steps = []
+            for f in used:
+                mine = feature == f
+                ends = np.unique(np.concatenate([low[mine], high[mine]]))
+                ends = ends[np.isfinite(ends)]
+                upper = np.append(ends, np.inf)[:, None, None]  # stands for the values of a step
+                holds = mine & (low < upper) & (upper <= high)
+                steps.append((f, ends, (holds * bit).sum(axis=2)))
+            seen = np.zeros(leaves << slots, dtype=bool)
+            codes = []
             for at in range(0, len(x), 256):
-                seen = x[at : at + 256][:, feature]
-                inside = (seen > low) & (seen <= high)
-                others = np.zeros(inside.shape)
-                for t, w in zip(points, weights):
-                    absent = share * (1 - t)
-                    factor = np.where(inside, absent + t, absent)
-                    others += (w * factor.prod(axis=2))[:, :, None] / factor
-                part = np.where(inside, 1 - share, -share) * others * value[:, None]
-                phi[at : at + 256] += part.reshape(len(seen), -1) @ spread
+                part = x[at : at + 256]
+                code = np.repeat(first[None], len(part), axis=0)
+                for f, ends, held in steps:
+                    code += held.take(np.searchsorted(ends, part[:, f]), axis=0)
+                seen[code.ravel()] = True
+                codes.append(code.astype("i4"))
+            patterns = np.flatnonzero(seen)
+            place = np.zeros(len(seen), dtype=np.intp)
+            place[patterns] = np.arange(len(patterns))
+            worth = self._worth(patterns, tree, used)
+            for k, code in enumerate(codes):
+                phi[256 * k : 256 * k + len(code), used] += worth.take(place.take(code), axis=0).sum(axis=1)
         return phi / len(self.tree_ids)
+
+    @staticmethod
+    def _worth(patterns: np.ndarray, tree: tuple, used: np.ndarray) -> np.ndarray:
+        """What the leaf of each pattern (leaf, then a bit for each path interval) adds to the used features."""
+        value, feature, _, _, share = tree
+        slots = share.shape[1]
+        points, weights = np.polynomial.legendre.leggauss((slots + 1) // 2)
+        points, weights = (points + 1) / 2, weights / 2
+        out = np.zeros((len(patterns), len(used)))
+        for at in range(0, len(patterns), 4096):
+            some = patterns[at : at + 4096]
+            leaf = some >> slots
+            inside = (some[:, None] >> np.arange(slots) & 1).astype(bool)
+            covered = share[leaf]
+            others = np.zeros(inside.shape)
+            for t, w in zip(points, weights):
+                absent = covered * (1 - t)
+                factor = np.where(inside, absent + t, absent)
+                others += (w * factor.prod(axis=1))[:, None] / factor
+            part = np.where(inside, 1 - covered, -covered) * others * value[leaf][:, None]
+            column = np.searchsorted(used, feature[leaf])
+            np.add.at(out[at : at + 4096], (np.arange(len(some))[:, None], column), part)
+        return out

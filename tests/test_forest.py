@@ -65,6 +65,18 @@ def test_contributions_match_brute_force(grown):
         np.testing.assert_allclose(forest.contributions(x[None])[0], phi, atol=1e-12)
 
 
+def test_contributions_of_a_pattern_are_computed_once(grown, monkeypatch):
+    _, forest = grown
+    computed = []
+    worth = Forest._worth
+    monkeypatch.setattr(Forest, "_worth", staticmethod(lambda patterns, *rest: computed.append(len(patterns)) or worth(patterns, *rest)))
+    one = forest.contributions(X[:40])
+    once = sum(computed)
+    many = forest.contributions(np.tile(X[:40], (20, 1)))
+    assert sum(computed) == 2 * once
+    np.testing.assert_allclose(many, np.tile(one, (20, 1)), rtol=0, atol=1e-12)
+
+
 def test_contributions_add_up(grown):
     _, forest = grown
     total = forest.base_value() + forest.contributions(X).sum(axis=1)
