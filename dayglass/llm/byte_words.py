@@ -58,11 +58,12 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_B
 
 def sizes(column: pa.Array) -> np.ndarray:
     """Bytes of each text; null is empty."""
-    _, ends = _buffers(column)
+    _, ends = text_bytes(column)
     return np.diff(ends)
 
 
-def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts and where each begins and ends; null is empty."""
     column = column.cast(pa.large_binary())
     if column.null_count:
         column = column.fill_null(b"")
@@ -88,7 +89,7 @@ def _power(base: int, n: int) -> np.ndarray:
 
 def words(column: pa.Array, classes: np.ndarray) -> Words:
     """The words of a column of texts, A-Z in lower case."""
-    raw, offsets = _buffers(column)
+    raw, offsets = text_bytes(column)
     if not len(raw):
         none = np.zeros(0, "i8")
         return Words(np.zeros(0, "u8"), none, none, none, none, raw)

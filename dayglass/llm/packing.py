@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayglass.llm.common import SLICE, shuffle_tasks, slices, stored, texts
+from dayglass.llm.byte_words import by_bytes
+from dayglass.llm.common import shuffle_tasks, stored
+from dayglass.llm.segments import BATCH_BYTES
 from dayglass.llm.word_ids import encoder
 
 #: Pieces that one (length, bucket) group holds on average at most.
@@ -190,11 +192,11 @@ def token_pieces(
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).ids
+        encode = encoder(tokenizer).column_ids
         end = np.array([end_id], "<u4").tobytes()
-        for part in slices(batches, SLICE):
+        for part in by_bytes(batches, "text", BATCH_BYTES):
             out: list[tuple] = []
-            for doc, ids in zip(part.column(0).to_pylist(), encode(texts(part.column(1)))):
+            for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * tokens)):
                     chunk = ids[at : at + 4 * tokens]
@@ -207,6 +209,7 @@ def token_pieces(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out), types)], names
             )
+        pa.default_memory_pool().release_unused()  # workers are used again
 
     if with_ids:
         schema += ", ids array<int>"

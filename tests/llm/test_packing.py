@@ -63,6 +63,20 @@ def test_ids_match_the_tokenizer():
     assert encoder(PATH).ids(texts) == want
 
 
+def test_segments_are_encoded_once(monkeypatch):
+    own = encoder(PATH)
+    own.segments.forget()
+    asked = []
+    words = own._words
+    monkeypatch.setattr(own, "_words", lambda some: asked.extend(some) or words(some))
+    texts = ["Zebrafink zebrafink. (zebrafink)\nzebrafink, ZEBRAFINK'S", "zebrafink;zebrafink İ. İ!, 'İ×÷a²b", "<|zebrafink\u2019s <| |>"]
+    tokenizer = Tokenizer.from_file(PATH)
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own.ids(texts) == want
+    assert own.ids(texts) == want
+    assert asked.count("zebrafink") == 1 and len(asked) == len(set(asked))
+
+
 def test_edge_rows(edge, empty):
     rows = packing.pack(edge, PATH, packing.Capacity(512)).collect()
     tokenizer = Tokenizer.from_file(PATH)
