@@ -5,8 +5,9 @@ survives if its piece is stable after the piece that reaches its start (prefix_b
 each node has one backpointer. Only nodes that a longer piece can still leave from are
 live: a window of `longest` pieces. Ids are committed as soon as the backpointer paths
 of all live nodes meet in one boundary. A model whose pieces hold the space mark only at
-their start has such a boundary before every word, so words are searched once and
-remembered.
+their start has such a boundary before every word, and where none of its pieces goes on from
+letters to other characters or back, also there: texts are divided in bulk, and segments are
+searched once and remembered.
 """
 
 from __future__ import annotations
@@ -16,21 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dayglass.llm.byte_words import by_bytes
 from dayglass.llm.common import slices, texts
 from dayglass.llm.prefix_bpe import PrefixBPE
-
-#: Words whose ids a worker remembers.
-WORDS = 800_000
+from dayglass.llm.segments import BATCH_BYTES, Remembered, segments
 
 #: Fixed value: the letter that stands for a space in pieces.
 SPACE = "▁"
 
-_split = regex.compile("▁*[^▁]+|▁+").findall
 _codecs: dict[str, "Codec"] = {}
 
 
@@ -59,7 +58,8 @@ class Codec:
 
         self.bpe = PrefixBPE(set(self.ids), priority)
         self.by_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.words: dict[str, bytes] = {}
+        spaced = pa.array([p.replace(SPACE, " ") for p in self.ids], pa.string())
+        self.segments = Remembered(self._segments, divide=len(segments(spaced).places) == len(spaced))
 
     def _ids(self, piece: str) -> list[int]:
         found = self.ids.get(piece)
@@ -114,29 +114,30 @@ class Codec:
             end = back[end]
         return out[::-1]
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
+    def _segments(self, some: list[str]) -> list[bytes]:
+        out = []
+        for word in some:
+            word = word.replace(" ", SPACE)
             # a short word ends before paths can be committed: take the search of its whole window
             path = self.bpe.encode(word) if len(word) <= 4 * self.bpe.longest else None
             ids = [i for p in path for i in self._ids(p)] if path is not None else list(self.stream(iter(word)))
-            found = np.array(ids, "<u4").tobytes()
-            if len(self.words) < WORDS:
-                self.words[word] = found
-        return found
+            out.append(np.array(ids, "<u4").tobytes())
+        return out
 
     def encode(self, text: str) -> bytes:
         """Little-endian uint32 ids; the empty text has none."""
-        if not text:
-            return b""
-        marked = SPACE + text.replace(" ", SPACE)
+        return self.encode_column(pa.array([text], pa.string()))[0]
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """`encode` of a column of texts; null is empty."""
         if not self.by_words:
-            return np.array(list(self.stream(iter(marked))), "<u4").tobytes()
-        split = _split(marked)
-        try:
-            return b"".join(map(self.words.__getitem__, split))
-        except KeyError:
-            return b"".join(map(self._word, split))
+            marked = (SPACE + t.replace(" ", SPACE) if t else "" for t in texts(column))
+            return [np.array(list(self.stream(iter(m))), "<u4").tobytes() for m in marked]
+        spaced = pc.replace_substring(column.cast(pa.large_string()).fill_null(""), SPACE, " ")
+        first = pc.if_else(pc.equal(pc.binary_length(spaced), 0), "", " ").cast(pa.large_string())
+        ids, ends = self.segments.ids(pc.binary_join_element_wise(first, spaced, pa.scalar("", pa.large_string())))
+        raw = memoryview(ids).cast("B")
+        return [bytes(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; runs of byte pieces are UTF-8, malformed bytes become U+FFFD."""
@@ -165,8 +166,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for part in slices(batches):
-            ids = [np.frombuffer(own.encode(t), "<u4").astype("i4") for t in texts(part.column(1))]
+        for part in by_bytes(batches, "text", BATCH_BYTES):
+            ids = [np.frombuffer(i, "<u4").astype("i4") for i in own.encode_column(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
@@ -194,15 +195,15 @@ def encoding_digest(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for part in slices(batches):
+        for part in by_bytes(batches, "text", BATCH_BYTES):
             rows = []
-            for text in texts(part.column(1)):
-                ids = own.encode(text)
+            for text, ids in zip(texts(part.column(1)), own.encode_column(part.column(1))):
                 rows.append((len(ids) // 4, zlib.crc32(ids), own.decode(ids) == text))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *columns], ["doc_id", "n_ids", "ids_crc32", "round_trip"]
             )
+        pa.default_memory_pool().release_unused()  # workers are used again
 
     schema = "doc_id bigint, n_ids bigint, ids_crc32 bigint, round_trip boolean"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)

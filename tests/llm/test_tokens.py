@@ -68,6 +68,16 @@ def test_codec_matches_the_library():
             assert list(own.stream(iter(marked))) == want
 
 
+def test_words_are_searched_once_whatever_follows_them(monkeypatch):
+    own, library = sentencepiece_codec.Codec(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    searched = []
+    search = own.bpe.encode
+    monkeypatch.setattr(own.bpe, "encode", lambda word: searched.append(word) or search(word))
+    text = "Zaunkönig Zaunkönig. Zaunkönig, Zaunkönig! Zaunkönig\n Zaunkönig*** Zaunkönig's Zaunkönig\u2019s"
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text)
+    assert searched.count("▁Zaunkönig") == 1 and sum("Zaunkönig" in w for w in searched) == 2
+
+
 def test_stream_commits_before_its_end():
     own = sentencepiece_codec.codec(MODEL)
     read = 0
