@@ -23,6 +23,8 @@ from dayglass.streaming import scoring as SS
 #: The logs arrive in these slices, one micro-batch each.
 SLICES = [dt.date(2024, 1, d) for d in (1, 8, 15, 22)] + [dt.date(2024, 2, 1)]
 FILES = 4
+#: A larger log has a file a core in each slice, of at least so many of its rows in all.
+FILE_ROWS = 100_000
 
 
 def replayed(w: World, names, start: dt.date | None = None) -> dict[str, DataFrame]:
@@ -30,10 +32,11 @@ def replayed(w: World, names, start: dt.date | None = None) -> dict[str, DataFra
     base = store.scratch_path(w.spark, "replay")
     streams = {}
     for name in names:
-        log = within(w.logs[name], start, None)
+        log = store.materialize(within(w.logs[name], start, None), f"{name}-log")  # each slice reads it
+        files = max(FILES, min(w.spark.sparkContext.defaultParallelism, log.count() // FILE_ROWS))
         for low, high in zip(SLICES, SLICES[1:]):
-            within(log, low, high).repartition(FILES).write.mode("append").parquet(f"{base}/{name}")
-        streams[name] = SF.read_log(w.spark, f"{base}/{name}", log.schema, FILES)
+            within(log, low, high).repartition(files).write.mode("append").parquet(f"{base}/{name}")
+        streams[name] = SF.read_log(w.spark, f"{base}/{name}", log.schema, files)
     return streams
 
 
